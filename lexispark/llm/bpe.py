@@ -28,10 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path, written
+from .common import MAP_BITS, bitmap, short_batches, tokenizer_path, written
 
 WINDOW = 32
-MAP_BITS = 27
 #: Chunk keys that a task remembers as sent already; beyond that it forgets them and may send again.
 SEEN = 200_000
 
@@ -149,11 +148,7 @@ def _shared_map(docs: DataFrame, text: str, average: int, least: int) -> bytes:
     """A bit for each key (modulo the map) that occurs twice or more. 2^27 bits, whatever the input."""
     keys = docs.select(text).mapInArrow(_keys(average, least), "key long, n long")
     twice = keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    bit = F.expr(f"pmod(key, {1 << MAP_BITS}L)")
-    words = twice.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {1 << MAP_BITS}L) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.tobytes()
+    return bitmap(twice, "key")
 
 
 _SCAN = "kind int, row long, doc_id long, seq int, key binary, lo int, hi int, payload binary, sizes array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -167,8 +162,6 @@ def _scan(path: str, shared, average: int, least: int):
         import zstandard
         from pyspark import TaskContext
 
-        from .common import arrow_schema  # noqa: F401
-
         codec, bits = Codec(path), np.frombuffer(shared.value, np.int64)
         pack = zstandard.ZstdCompressor(level=3).compress
         row, seen = TaskContext.get().partitionId() << 40, set()
@@ -309,9 +302,10 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     ``id_col`` and ``text_col`` are not read.
     """
     path, spark = path or tokenizer_path(), docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(_shared_map(docs, "text", average, least))
-    rows = written(docs.mapInArrow(_scan(path, shared, average, least), _SCAN), "bpe-scan", ["kind"])
+    rows = written(docs.mapInArrow(_scan(path, shared, average, least), _SCAN), "bpe-scan")
     texts = rows.filter("kind = 3").groupBy("key").agg(F.first("payload").alias("payload"))
     encoded = written(texts.mapInArrow(_encode(path), "key binary, chunk_ids binary"), "bpe-chunks")
     own = rows.filter("kind = 1").select("row", "doc_id", "seq", "lo", "hi", "payload", "sizes")

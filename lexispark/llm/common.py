@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +45,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts sum to about ``limit`` characters, one row at least."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -57,11 +57,46 @@ def slices(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
-def arrow_schema(spark_schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+MAP_BITS = 27
 
-    return to_arrow_schema(spark_schema)
 
+def bitmap(keys: DataFrame, key: str) -> bytes:
+    """2^27 bits, whatever the input: the one at ``key`` modulo that is set for each long ``key``.
 
-def scratch() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
+    The map tells what to send or read; a bit that other keys share costs work, never a result.
+    """
+    place = F.expr(f"pmod({key}, {1 << MAP_BITS}L)")
+    words = keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({key}, {1 << MAP_BITS}L) & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+    return (bits.view(np.uint64)[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of long columns."""
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = np.full(len(columns[0]), 42, dtype=np.uint64)
+    for c in columns:
+        h = h + _P5 + np.uint64(8)
+        h ^= turn(c.view(np.uint64) * _P2, 31) * _P1
+        h = turn(h, 27) * _P1 + _P4
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, for whole texts; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")

@@ -4,12 +4,14 @@ Tokens are ordered from rare to common by counts over the whole corpus, kept in
 token hash; tokens that share a place there are ordered by their hash, so that the order is the same
 everywhere and the filters stay exact. Two lines whose Jaccard similarity reaches the threshold share a
 token in the prefixes of that order (prefix filter), at places that leave enough tokens behind
-(positional filter), and have lengths within the threshold (length filter). What passes is verified on
-all tokens. Lines of equal token sets are one class, which its first line stands for.
-
-A line goes if an earlier line, by (document, line), has a similar set. For each token, every line is
-first compared with the first line that has it; only lines that found no earlier match go on to the
-other lines of the token. Resolved lines aren't compared again, so a group of copies costs its size.
+(positional filter), and have lengths within the threshold (length filter). Each line also has 64 bits
+of token parity: two lines differ in at least as many tokens as in bits. What passes is verified on all
+tokens. Lines of equal token sets are one class, which its first line stands for.
+
+A line goes if an earlier line, by (document, line), has a similar set. For each of its prefix tokens a
+line keeps its likeliest earlier lines, up to ``PARTNERS``; one that had more and found no match goes
+through all of them in a second pass. So a group of copies costs its size, not its square. Tokens in
+very many prefixes are dealt out as pairs of blocks of lines.
 """
 
 from __future__ import annotations
@@ -22,14 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bitmap, in_bitmap, short_batches, slices, written, xxhash64
 from .textscan import mix, words
 
 COUNT_BITS = 24
+#: Candidates of a line for one token in the first pass; the second has no limit.
+PARTNERS = 8
+#: Lines of a token in one block.
+BLOCK = 1 << 13
+_HOT_LEVEL = 8 * 13
+_TIE = (1 << 24) - 1
 
 
-def _text_key(texts: list[str | None]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest((t or "").encode()) for t in texts], dtype=np.uint64).view(np.int64)
+def _tie(texts: list[str | None]) -> np.ndarray:
+    """24 bits of the text: tells rows that share an id apart."""
+    return np.array([xxhash.xxh3_64_intdigest((t or "").encode()) & _TIE for t in texts], dtype=np.int64)
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -44,175 +53,289 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, n = np.unique(_place(words(texts[i:j])[0]), return_counts=True)
             total[at] += n.astype(np.uint32)
     at = np.flatnonzero(total)
-    for i in range(0, len(at), 1 << 17):
-        part = at[i : i + (1 << 17)]
+    for i in range(0, len(at), 1 << 16):
+        part = at[i : i + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["place", "n"])
 
 
 def _levels(docs: DataFrame) -> np.ndarray:
     """Rarity of each place as a byte: 0 for one occurrence, else a step for each eighth of a doubling."""
-    table = docs.select("text").mapInArrow(_counts, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).select("place", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("smallint").alias("level")).toArrow()
+    table = docs.select("text").mapInArrow(_counts, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1").select("place", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("smallint").alias("level")).toArrow()
     out = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
     out[table.column("place").to_numpy()] = table.column("level").to_numpy().astype(np.uint8)
     return out
 
 
-def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
-    """Smallest size of the smaller set, for sets of ``n``: ceil(n * percent / 100)."""
-    return -(-n * percent // 100)
-
-
 def _token_sets(texts: list[str | None], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each line with a word: document, line, first and last place in ``tokens``; distinct tokens, rare first."""
     h, doc, line = words(texts)
     if not len(h):
         return (np.empty(0, np.int64),) * 4 + (h,)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(line) != 0)]))
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]))
     group = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [len(h)]])))
-    rank = levels[_place(h)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    order = np.lexsort((rank, group))
+    level = levels[_place(h)].astype(np.uint64)
+    if len(new) < 1 << 16:
+        # ties in 40 bits of the hash are put right below, where they matter
+        order = np.argsort(group.astype(np.uint64) << np.uint64(48) | level << np.uint64(40) | h >> np.uint64(24), kind="stable")
+        t, g = h[order], group[order]
+        if np.any((t[1:] != t[:-1]) & (t[1:] >> np.uint64(24) == t[:-1] >> np.uint64(24)) & (g[1:] == g[:-1])):
+            order = np.lexsort((h, level, group))
+    else:
+        order = np.lexsort((h, level, group))
     h, g = h[order], group[order]
-    keep = np.concatenate([[True], (np.diff(g) != 0) | (h[1:] != h[:-1])])
+    keep = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
     h, g = h[keep], g[keep]
     first = np.searchsorted(g, np.arange(len(new)))
     return doc[new], line[new], first, np.concatenate([first[1:], [len(h)]]), h
 
 
-_LINES = "doc_id long, text_key long, line int, set_id binary, n int, places binary, prefix binary"
+_LINES = "doc_id long, spot long, s0 long, s1 long, n int, parity long, tokens array<int>, places array<int>"
+_HOT = 1 << 30
 
 
 def _lines(levels_of, percent: int, least: int):
-    """Lines with at least ``least`` distinct tokens. ``prefix`` has the prefix's tokens without those that occur once."""
+    """Lines with at least ``least`` distinct tokens; ``tokens`` and ``places`` are the prefix without tokens that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(levels_of.value, np.uint8)
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            ties = _tie(texts)
             for i, j in slices(texts):
                 doc, line, first, last, tokens = _token_sets(texts[i:j], levels)
                 n = last - first
-                kept = np.flatnonzero(n >= least)
-                if not len(kept):
+                kept = n >= least
+                if not kept.any():
                     continue
-                one, two = mix(tokens), mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
-                sums = np.stack([np.add.reduceat(one, first), np.add.reduceat(two, first)], axis=1)[kept]
-                raw = sums.tobytes()
-                length = n - _least_common(n, percent) + 1
-                common = levels[_place(tokens)] > 0
-                places, prefixes = [], []
-                for k in kept.tolist():
-                    b = first[k]
-                    at = np.flatnonzero(common[b : b + length[k]])
-                    places.append(at.astype(np.int32).tobytes())
-                    prefixes.append(tokens[b + at].tobytes())
-                keys = _text_key(texts[i:j])
+                s0, s1 = (np.add.reduceat(mix(x), first)[kept].view(np.int64) for x in (tokens, tokens ^ np.uint64(0x5851F42D4C957F2D)))
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first)[kept].view(np.int64)
+                group = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(tokens)) - first[group]
+                level = levels[_place(tokens)]
+                posted = kept[group] & (at < (n + (-n * percent // 100) + 1)[group]) & (level > 0)
+                number = np.cumsum(kept) - 1
+                sizes = np.bincount(number[group[posted]], minlength=int(kept.sum()))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                as_lists = lambda x, offsets=offsets: pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32)))
+                d = doc[kept] + i
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][doc[kept]]), pa.array(keys[doc[kept]]), pa.array(line[kept].astype(np.int32)), pa.array([raw[16 * k : 16 * k + 16] for k in range(len(kept))], pa.binary()), pa.array(n[kept].astype(np.int32)), pa.array(places, pa.binary()), pa.array(prefixes, pa.binary())],
+                    [pa.array(ids[d]), pa.array(line[kept] << 24 | ties[d]), pa.array(s0), pa.array(s1), pa.array(n[kept].astype(np.int32)), pa.array(parity), as_lists((tokens[posted] >> np.uint64(32)).astype(np.uint32).view(np.int32)), as_lists(np.minimum(at[posted], _HOT - 1) | np.where(level[posted] >= _HOT_LEVEL, _HOT, 0))],
                     [f.split(" ")[0] for f in _LINES.split(", ")],
                 )
 
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, key, line, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        places = [np.frombuffer(x, np.int32) for x in batch.column(4).to_pylist()]
-        tokens = [np.frombuffer(x, np.int64) for x in batch.column(5).to_pylist()]
-        size = np.array([len(p) for p in places], dtype=np.int64)
-        if size.sum():
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), *(pa.array(np.repeat(x, size)) for x in (n, doc, key, line))], ["token", "place", "n", "doc_id", "text_key", "line"])
+_PAIRS = "x_doc long, x_spot long, y_doc long, y_spot long, x_n int, y_n int, complete boolean"
 
 
-_SETS = "doc_id long, text_key long, line int, tokens array<bigint>"
+def _candidates(percent: int, probes: bool):
+    """Pairs of a line and earlier ones with the same token, of rows sorted by token, block, document and spot.
 
+    ``probe``: whether the row looks for earlier lines; ``side``: rows of a pair of two blocks meet only
+    the other side. In the first pass the likeliest ``PARTNERS`` are kept, ``complete`` tells if these are all.
+    """
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+    def within(n_x, n_y, p_x, p_y, q_x, q_y):
+        behind = np.minimum(n_x - p_x, n_y - p_y)
+        differ = np.bitwise_count((q_x ^ q_y).view(np.uint64)).astype(np.int64)
+        ok = (100 * n_x >= percent * n_y) & (100 * n_y >= percent * n_x) & (behind * (100 + percent) >= percent * (n_x + n_y))
+        return ok & (differ * (100 + percent) <= (100 - percent) * (n_x + n_y)), differ
+
+    def matches(c: dict[str, np.ndarray], begin: int, end: int, out: list) -> None:
+        """One group of rows, by blocks of probes."""
+        g = {k: v[begin:end] for k, v in c.items()}
+        for i in range(0, end - begin, 512):
+            x = np.arange(i, min(i + 512, end - begin))
+            x = x[g["probe"][x]]
+            if not len(x) or not x[-1]:
+                continue
+            y = np.arange(x[-1])
+            a, b = x[:, None], y[None, :]
+            ok, differ = within(g["n"][a], g["n"][b], g["place"][a], g["place"][b], g["parity"][a], g["parity"][b])
+            ok &= (b < a) & ((g["side"][a] != g["side"][b]) | (g["side"][a] == 0))
+            r, k = np.nonzero(ok)
+            if len(r):
+                out.append((x[r] + begin, k + begin, differ[r, k]))
 
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_text_key(texts)), pa.array([pack((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "text_key", "packed"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        names = ["token", "block", "doc_id", "spot", "n", "place", "parity", "side", "probe"]
+
+        def work(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            new = np.flatnonzero(np.concatenate([[True], (c["token"][1:] != c["token"][:-1]) | (c["block"][1:] != c["block"][:-1])]))
+            size = np.diff(np.concatenate([new, [len(c["token"])]]))
+            out: list = []
+            # small groups together, by the distance of the rows
+            small = np.repeat(size <= 64, size)
+            rank = np.arange(len(small)) - np.repeat(new, size)
+            at = np.flatnonzero(small & (rank > 0) & c["probe"])
+            d = 1
+            while len(at):
+                y = at - d
+                ok, differ = within(c["n"][at], c["n"][y], c["place"][at], c["place"][y], c["parity"][at], c["parity"][y])
+                ok &= (c["side"][at] != c["side"][y]) | (c["side"][at] == 0)
+                out.append((at[ok], y[ok], differ[ok]))
+                d += 1
+                at = at[rank[at] >= d]
+            for begin, n in zip(new[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+                matches(c, begin, begin + n, out)
+            if not out:
+                return
+            x, y, differ = (np.concatenate(p) for p in zip(*out, strict=True))
+            if not len(x):
+                return
+            complete = np.ones(len(x), dtype=bool)
+            if not probes:
+                order = np.lexsort((y, differ, x))
+                x, y = x[order], y[order]
+                first = np.concatenate([[True], x[1:] != x[:-1]])
+                begin = np.flatnonzero(first)
+                n = np.diff(np.concatenate([begin, [len(x)]]))
+                keep = np.arange(len(x)) - np.repeat(begin, n) < PARTNERS
+                complete = np.repeat(n <= PARTNERS, n)[keep]
+                x, y = x[keep], y[keep]
+            for i in range(0, len(x), 1 << 15):
+                a, b = x[i : i + (1 << 15)], y[i : i + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc_id"][a], c["spot"][a], c["doc_id"][b], c["spot"][b], c["n"][a].astype(np.int32), c["n"][b].astype(np.int32), complete[i : i + (1 << 15)])], [f.split(" ")[0] for f in _PAIRS.split(", ")])
 
+        for batch in batches:
+            c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+            if not len(c["token"]):
+                continue
+            c |= {k: c[k].astype(np.int64) for k in ("n", "place")}
+            if carry is not None:
+                c = {k: np.concatenate([carry[k], c[k]]) for k in names}
+            last = (c["token"] == c["token"][-1]) & (c["block"] == c["block"][-1])
+            cut = int(np.argmax(last))
+            carry = {k: v[cut:] for k, v in c.items()}
+            if cut:
+                yield from work({k: v[:cut] for k, v in c.items()})
+        if carry is not None:
+            yield from work(carry)
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+    return run
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    flat = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
-    for batch in batches:
-        texts = [unpack(x).decode() for x in batch.column(2).to_pylist()]
-        ids, keys, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-        for i, j in slices(texts):
-            asked = [set(x) for x in wanted[i:j]]
-            doc, line, first, last, tokens = _token_sets(texts[i:j], flat)
-            rows = [(ids[i + d], keys[i + d], n, tokens[b:e].view(np.int64)) for d, n, b, e in zip(doc.tolist(), line.tolist(), first.tolist(), last.tolist(), strict=True) if n in asked[d]]
-            if rows:
-                a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.list_(pa.int64()))], ["doc_id", "text_key", "line", "tokens"])
 
+def _postings(classes: DataFrame) -> DataFrame:
+    one = F.explode(F.arrays_zip("tokens", "places"))
+    rows = classes.select("doc_id", "spot", "n", "parity", "probe", one.alias("t"))
+    rows = rows.select("doc_id", "spot", "n", "parity", "probe", F.col("t.tokens").alias("token"), F.col("t.places").bitwiseAND(F.lit(_HOT - 1)).alias("place"), (F.col("t.places") >= _HOT).alias("common"))
+    # tokens in very many prefixes; those that are rare in the corpus needn't be counted
+    many = written(rows.filter("common").groupBy("token").agg(F.count("*").alias("lines")).filter(F.col("lines") > BLOCK), "ld-common")
+    rows = rows.join(many.select("token", F.ceil(F.col("lines") / BLOCK).cast("int").alias("blocks")), "token", "left")
+    own = F.pmod(F.xxhash64("doc_id", "spot"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", F.coalesce(own, F.lit(0)))
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least("own", k) * F.col("blocks") + F.greatest("own", k)).alias("block"), F.when(k == F.col("own"), 0).when(k > F.col("own"), 1).otherwise(2).alias("side")))
+    alone = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("side")))
+    rows = rows.withColumn("b", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(both)))
+    rows = rows.select("token", F.col("b.block").alias("block"), "doc_id", "spot", "n", "place", "parity", F.col("b.side").alias("side"), "probe")
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "token", "block").sortWithinPartitions("token", "block", "doc_id", "spot")
 
-_AT = ("doc_id", "text_key", "line")
 
+def _wanted(bits_of):
+    """Token sets of the lines that the map asks for."""
 
-def _at(side: str) -> list:
-    return [F.col(c).alias(f"{side}_{c}") for c in _AT]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, lines = (np.frombuffer(x, np.int64) for x in bits_of.value)
+        flat = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            asked = np.flatnonzero(in_bitmap(documents, xxhash64(ids)))
+            if not len(asked):
+                continue
+            texts, ids = batch.column(1).take(pa.array(asked)).to_pylist(), ids[asked]
+            parts, at, spots = [], [], []
+            for k, (text, tie) in enumerate(zip(texts, _tie(texts).tolist(), strict=True)):
+                own = text.split("\n")
+                spot = np.arange(len(own), dtype=np.int64) << 24 | tie
+                for m in np.flatnonzero(in_bitmap(lines, xxhash64(np.full(len(own), ids[k]), spot))).tolist():
+                    parts.append(own[m])
+                    at.append(k)
+                    spots.append(int(spot[m]))
+            for i, j in slices(parts):
+                doc, _, first, last, tokens = _token_sets(parts[i:j], flat)
+                d = doc + i
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(at)[d]]), pa.array(np.array(spots)[d]), pa.ListArray.from_arrays(pa.array(np.concatenate([first, last[-1:]]).astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc_id", "spot", "tokens"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, spot`` of the lines x of the pairs whose token sets reach the threshold."""
+    asked = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).unionByName(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_spot").alias("spot")))
+    maps = bitmap(asked.select(F.xxhash64("doc_id").alias("k")), "k"), bitmap(asked.select(F.xxhash64("doc_id", "spot").alias("k")), "k")
+    bits = docs.sparkSession.sparkContext.broadcast(maps)
+    # a repeated row gives the same sets again
+    sets = docs.mapInArrow(_wanted(bits), "doc_id long, spot long, tokens array<bigint>")
+    sets = written(sets.dropDuplicates(["doc_id", "spot"]), "ld-sets")
+    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("spot").alias(f"{s}_spot"), F.col("tokens").alias(f"{s}_tokens"))
+    full = pairs.join(side("y"), ["y_doc", "y_spot"]).join(side("x"), ["x_doc", "x_spot"])
+    found = full.select("x_doc", "x_spot", "x_n", "y_n", F.size(F.array_intersect("x_tokens", "y_tokens")).alias("common")).filter(f"100 * common >= {percent} * (x_n + y_n - common)")
+    return found.select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).distinct()
 
 
 def later_matches(docs: DataFrame, percent: int = 80, least: int = 8) -> DataFrame:
-    """``doc_id, text_key, line`` of each line that an earlier one matches; ``docs``: ``doc_id, text``."""
+    """``doc_id, tie, line`` of each line that an earlier one matches; ``docs``: ``doc_id, text``."""
     docs = docs.filter("doc_id is not null and text is not null")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(docs).tobytes())
     lines = written(docs.mapInArrow(_lines(levels, percent, least), _LINES), "ld-lines")
-    at = F.struct(*_AT)
-    classes = written(lines.groupBy("set_id").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("places").alias("places"), F.first("prefix").alias("prefix")).select("set_id", "first.*", "n", "places", "prefix"), "ld-classes")
-    postings = classes.select(*_AT, "n", "places", "prefix").mapInArrow(_postings, "token long, place int, n int, doc_id long, text_key long, line int")
-    firsts = postings.groupBy("token").agg(F.min(F.struct(*_AT, "place", "n")).alias("y"), F.count("*").alias("lines")).filter("lines > 1")
-    postings = written(postings.join(firsts.select("token", F.struct(*[F.col(f"y.{c}").alias(c) for c in _AT], F.col("y.place").alias("place"), F.col("y.n").alias("n")).alias("y")), "token"), "ld-postings")
-    x, y = F.struct(*_AT), F.struct(*[F.col(f"y.{c}").alias(c) for c in _AT])
-    reach = f"100 * n >= {percent} * y.n and 100 * y.n >= {percent} * n"
-    # the rarest common token leaves enough of both sets from its places on
-    behind = f"least(n - place, y.n - y.place) * (100 + {percent}) >= {percent} * (n + y.n)"
-    pair = [*_at("x"), *[F.col(f"y.{c}").alias(f"y_{c}") for c in _AT], F.col("n").alias("x_n"), F.col("y.n").alias("y_n")]
-    star = written(postings.filter(y < x).filter(reach).filter(behind).select(*pair).distinct(), "ld-star")
-    texts = docs.mapInArrow(_pack, "doc_id long, text_key long, packed binary")
-    resolved = written(_verified(star, texts, percent), "ld-resolved")
-    probes = postings.join(resolved.withColumn("gone", F.lit(True)), list(_AT), "left").filter("gone is null").drop("gone", "y")
-    targets = postings.select("token", F.struct(*_AT, "place", "n").alias("y"))
-    others = probes.join(targets, "token").filter(y < x).filter(reach).filter(behind).select(*pair).distinct()
-    more = written(_verified(others.join(star.drop("x_n", "y_n"), [f"{s}_{c}" for s in "xy" for c in _AT], "left_anti"), texts, percent), "ld-more")
-    near = classes.select("set_id", *_AT).join(resolved.unionByName(more).distinct().withColumn("gone", F.lit(True)), list(_AT), "left")
-    near = written(near.select("set_id", F.struct(*_AT).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "ld-near")
-    return lines.select(*_AT, "set_id").join(near, "set_id").filter(F.col("gone") | (F.struct(*_AT) != F.col("first"))).select(*_AT)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The lines x of the pairs whose token sets reach the threshold."""
-    pairs = written(pairs, "ld-pairs")
-    asked = pairs.select(*[F.col(f"x_{c}").alias(c) for c in _AT]).unionByName(pairs.select(*[F.col(f"y_{c}").alias(c) for c in _AT])).distinct()
-    asked = asked.groupBy("doc_id", "text_key").agg(F.collect_list("line").alias("wanted"))
-    # a repeated row gives the same sets again
-    sets = written(texts.join(asked, ["doc_id", "text_key"]).mapInArrow(_wanted_sets, _SETS).dropDuplicates(list(_AT)), "ld-sets")
-    side = lambda s: sets.select(*_at(s), F.col("tokens").alias(f"{s}_tokens"))
-    full = pairs.join(side("y"), [f"y_{c}" for c in _AT]).join(side("x"), [f"x_{c}" for c in _AT])
-    common = F.size(F.array_intersect("x_tokens", "y_tokens")).alias("common")
-    found = full.select(*[f"x_{c}" for c in _AT], "x_n", "y_n", common).filter(f"100 * common >= {percent} * (x_n + y_n - common)")
-    return found.select(*[F.col(f"x_{c}").alias(c) for c in _AT]).distinct()
+    first = lines.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "spot", "n", "parity", "tokens", "places")).alias("f"), F.count("*").alias("copies"))
+    classes = written(first.select("s0", "s1", "f.*", "copies", F.lit(True).alias("probe")), "ld-classes")
+    pairs = written(_postings(classes).mapInArrow(_candidates(percent, False), _PAIRS).groupBy("x_doc", "x_spot", "y_doc", "y_spot").agg(F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"), F.min("complete").alias("complete")), "ld-pairs")
+    found = written(_verified(pairs, docs, percent), "ld-found")
+    rest = pairs.filter("not complete").select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).distinct()
+    rest = written(rest.join(found, ["doc_id", "spot"], "left_anti").withColumn("probe", F.lit(True)), "ld-rest")
+    if not rest.isEmpty():
+        again = classes.drop("probe").join(rest, ["doc_id", "spot"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+        more = written(_postings(again).mapInArrow(_candidates(percent, True), _PAIRS).drop("complete").distinct(), "ld-more")
+        found = found.unionByName(written(_verified(more, docs, percent), "ld-found"))
+    gone = classes.join(found.withColumn("gone", F.lit(True)), ["doc_id", "spot"], "left").filter("copies > 1 or gone")
+    gone = written(gone.select("s0", "s1", F.col("doc_id").alias("f_doc"), F.col("spot").alias("f_spot"), F.coalesce("gone", F.lit(False)).alias("gone")), "ld-gone")
+    removed = lines.select("doc_id", "spot", "s0", "s1").join(gone, ["s0", "s1"]).filter("gone or doc_id <> f_doc or spot <> f_spot")
+    return removed.select("doc_id", F.col("spot").bitwiseAND(F.lit(_TIE)).alias("tie"), F.shiftright("spot", 24).cast("int").alias("line"))
+
+
+def _cut(text: str, gone) -> str:
+    gone = set(gone)
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+
+
+def _untouched(bits_of, at: int, text: int, names: list[str], touched: bool):
+    """Rows of documents that the map doesn't have; or, packed and with their tie, of those it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, bits = zstandard.ZstdCompressor(level=3).compress, np.frombuffer(bits_of.value, np.int64)
+        for batch in batches:
+            ids = batch.column(at)
+            asked = in_bitmap(bits, xxhash64(ids.fill_null(0).to_numpy(zero_copy_only=False))) & ids.is_valid().to_numpy(zero_copy_only=False)
+            asked &= batch.column(text).is_valid().to_numpy(zero_copy_only=False)
+            part = batch.filter(pa.array(asked == touched))
+            texts = part.column(text).to_pylist()
+            columns = [part.column(k) for k in range(len(names)) if k != text]
+            if touched:
+                more = [pa.array([pack(t.encode()) for t in texts], pa.binary()), pa.array(_tie(texts))]
+            else:
+                more = [part.column(text), pa.array([0 if not t else t.count("\n") + 1 for t in texts], pa.int64()), pa.array([0] * len(texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*(x for k, x in enumerate(names) if k != text), *(["__text", "__tie"] if touched else ["__out", "__lines", "__removed"])])
+
+    return run
 
 
-def _without(kept_columns: list[str]):
+def _without(n_columns: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            text, kept, n_lines = [], [], []
-            for t, gone in zip(batch.column("__text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                lines = (t or "").split("\n")
-                gone = set(gone or ())
-                text.append("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t)
-                kept.append(len(gone))
-                n_lines.append(len(lines) if t else 0)
-            columns = [batch.column(c) for c in kept_columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.string()), pa.array(n_lines, pa.int64()), pa.array(kept, pa.int64())], [*kept_columns, "__out", "__lines", "__removed"])
+            texts = [unpack(t).decode() for t in batch.column(n_columns).to_pylist()]
+            gone = [x or [] for x in batch.column(n_columns + 1).to_pylist()]
+            out = [_cut(t, g) if g else t for t, g in zip(texts, gone, strict=True)]
+            lines = [t.count("\n") + 1 if t else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array([len(g) for g in gone], pa.int64())], names)
 
     return run
 
@@ -228,22 +351,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, a fixed one comes first. A document may be left with an empty text, but no row goes. An empty
     table gives an empty result. Other columns pass through.
     """
+    short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    removed = later_matches(plain, percent, least).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
-    removed = written(removed, "ld-removed").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lines").alias("__gone"))
+    removed = later_matches(plain, percent, least).groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone"))
+    removed = written(removed, "ld-removed")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(removed.select(F.xxhash64("doc_id").alias("k")), "k"))
     names = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names if c != text_col], F.col(f"`{text_col}`").alias("__text"), F.col(id_col).cast("long").alias("__doc"))
-    columns = [c for c in names if c != text_col]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    shape = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "__text string, __doc long, __text_key long"])
-    keyed = keyed.mapInArrow(_with_key, shape)
-    joined = keyed.join(removed, (F.col("__doc") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    out = joined.select(*[F.col(f"`{c}`") for c in columns], "__text", "__gone").mapInArrow(_without(columns), ", ".join([*(f"`{c}` {types[c]}" for c in columns), "__out string, __lines long, __removed long"]))
+    text = names.index(text_col)
+    # the columns under names of their own, so that none can clash
+    inner = [f"__c{k}" for k in range(len(names))]
+    types = [f.dataType.simpleString() for f in docs.schema]
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)], F.col(id_col).cast("long").alias("__doc"))
+    others = [f"{i} {t}" for k, (i, t) in enumerate(zip(inner, types, strict=True)) if k != text]
+    columns = [*inner, "__doc"]
+    same = rows.mapInArrow(_untouched(bits, len(names), text, columns, False), ", ".join([*others, "__doc long", "__out string", "__lines long", "__removed long"]))
+    packed = rows.mapInArrow(_untouched(bits, len(names), text, columns, True), ", ".join([*others, "__doc long", "__text binary", "__tie long"]))
+    joined = packed.join(removed.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t"), "gone"), (F.col("__doc") == F.col("__id")) & (F.col("__tie") == F.col("__t")), "left")
+    kept = [i for k, i in enumerate(inner) if k != text]
+    out = joined.select(*kept, "__text", "gone").mapInArrow(_without(len(kept), [*kept, "__out", "__lines", "__removed"]), ", ".join([*others, "__out string", "__lines long", "__removed long"]))
+    out = out.unionByName(same.drop("__doc"))
     fresh = lambda c: c if c not in names else fresh(f"_{c}")
-    return out.select(*[F.col("__out" if c == text_col else f"`{c}`").alias(c) for c in names], F.col("__lines").alias(fresh("lines")), F.col("__removed").alias(fresh("removed_lines")))
-
-
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key = pa.array(_text_key(batch.column("__text").to_pylist()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, key], [*batch.schema.names, "__text_key"])
+    return out.select(*[F.col("__out" if k == text else i).alias(c) for k, (c, i) in enumerate(zip(names, inner, strict=True))], F.col("__lines").alias(fresh("lines")), F.col("__removed").alias(fresh("removed_lines")))

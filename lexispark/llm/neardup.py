@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import short_batches, slices, written
 from .components import components
 from .textscan import mix, shingle_sets
 
@@ -133,6 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. Rows that share an id count as one document with the links of each. Ties go to the smaller id.
     An empty table gives an empty result. Columns beside ``id_col`` and ``text_col`` are not read.
     """
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, set_id binary, registers binary"), "nd-sketches")
     classes = written(

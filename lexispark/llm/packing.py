@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Codec
-from .common import tokenizer_path, written
+from .common import short_batches, tokenizer_path, written
 
 _ENCODED = "part long, doc_id long, first long, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, continues boolean"
@@ -78,6 +78,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 2048, end_id: i
     beside ``id_col`` and ``text_col`` are not read.
     """
     path = path or tokenizer_path()
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded = written(docs.mapInArrow(_encode(path, end_id), _ENCODED), "packing")
     # one row per task of the scan

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-_rng = np.random.default_rng(77051)
-_LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _LETTER.copy()
-_LOWER[65:91] = _LETTER[97:123]
+#: A-Z as a-z, and every space byte as a space.
+_PLAIN = bytes(32 if b in (32, *range(9, 14)) else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LETTER = np.random.default_rng(77051).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTER[32] = 0
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -40,23 +38,26 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters, mixed; the powers are taken over the whole buffer and divided out at each word's start.
     """
     parts = [(t or "").encode() for t in texts]
-    a = np.frombuffer(b"\n".join(parts), np.uint8)
-    if not len(a):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    space = _SPACE[a]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    starts = edge[0::2]
+    joined = b"\n".join(parts)
+    none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if not joined:
+        return none
+    a = np.frombuffer(joined.translate(_PLAIN), np.uint8)
+    space = a == 32
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts = edge[int(not space[0]) :: 2] if len(edge) else edge
+    if not space[0]:
+        starts = np.concatenate([[0], starts])
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return none
     up, down = _power_tables(len(a))
-    product = _LOWER[a]
+    product = _LETTER[a]
     product *= up[: len(a)]
-    product[space] = 0
     h = mix(np.add.reduceat(product, starts) * down[starts])
-    begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])[:-1]
+    begins = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
     doc = np.searchsorted(begins, starts, side="right") - 1
-    feeds = np.concatenate([[0], np.cumsum(a == 10)])
-    line = feeds[starts] - feeds[begins[doc]]
+    feeds = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+    line = np.searchsorted(feeds, starts) - np.searchsorted(feeds, begins)[doc]
     return h, doc, line
 
 
