@@ -31,8 +31,8 @@ COUNT_BITS = 24
 #: Candidates of a line for one token in the first pass; the second has no limit.
 PARTNERS = 8
 #: Lines of a token in one block.
-BLOCK = 1 << 13
-_HOT_LEVEL = 8 * 13
+BLOCK = 1 << 15
+_HOT_LEVEL = 8 * 15
 _TIE = (1 << 24) - 1
 
 
@@ -160,11 +160,13 @@ def _candidates(percent: int, probes: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        names = ["token", "block", "doc_id", "spot", "n", "place", "parity", "side", "probe"]
+        names = ["group", "doc_id", "spot", "size", "parity"]
 
         def work(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            new = np.flatnonzero(np.concatenate([[True], (c["token"][1:] != c["token"][:-1]) | (c["block"][1:] != c["block"][:-1])]))
-            size = np.diff(np.concatenate([new, [len(c["token"])]]))
+            packed = c.pop("size")
+            c |= {"n": packed >> 32, "place": packed >> 3 & (1 << 28) - 1, "side": packed >> 1 & 3, "probe": (packed & 1).astype(bool)}
+            new = np.flatnonzero(np.concatenate([[True], c["group"][1:] != c["group"][:-1]]))
+            size = np.diff(np.concatenate([new, [len(c["group"])]]))
             out: list = []
             # small groups together, by the distance of the rows
             small = np.repeat(size <= 64, size)
@@ -201,13 +203,11 @@ def _candidates(percent: int, probes: bool):
 
         for batch in batches:
             c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
-            if not len(c["token"]):
+            if not len(c["group"]):
                 continue
-            c |= {k: c[k].astype(np.int64) for k in ("n", "place")}
             if carry is not None:
                 c = {k: np.concatenate([carry[k], c[k]]) for k in names}
-            last = (c["token"] == c["token"][-1]) & (c["block"] == c["block"][-1])
-            cut = int(np.argmax(last))
+            cut = int(np.searchsorted(c["group"], c["group"][-1]))
             carry = {k: v[cut:] for k, v in c.items()}
             if cut:
                 yield from work({k: v[:cut] for k, v in c.items()})
@@ -217,10 +217,12 @@ def _candidates(percent: int, probes: bool):
     return run
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     one = F.explode(F.arrays_zip("tokens", "places"))
     rows = classes.select("doc_id", "spot", "n", "parity", "probe", one.alias("t"))
     rows = rows.select("doc_id", "spot", "n", "parity", "probe", F.col("t.tokens").alias("token"), F.col("t.places").bitwiseAND(F.lit(_HOT - 1)).alias("place"), (F.col("t.places") >= _HOT).alias("common"))
+    if only is not None:
+        rows = rows.join(only, "token", "left_semi")
     # tokens in very many prefixes; those that are rare in the corpus needn't be counted
     many = written(rows.filter("common").groupBy("token").agg(F.count("*").alias("lines")).filter(F.col("lines") > BLOCK), "ld-common")
     rows = rows.join(many.select("token", F.ceil(F.col("lines") / BLOCK).cast("int").alias("blocks")), "token", "left")
@@ -229,9 +231,12 @@ def _postings(classes: DataFrame) -> DataFrame:
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least("own", k) * F.col("blocks") + F.greatest("own", k)).alias("block"), F.when(k == F.col("own"), 0).when(k > F.col("own"), 1).otherwise(2).alias("side")))
     alone = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("side")))
     rows = rows.withColumn("b", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(both)))
-    rows = rows.select("token", F.col("b.block").alias("block"), "doc_id", "spot", "n", "place", "parity", F.col("b.side").alias("side"), "probe")
+    # few wide fields: a row of the shuffle pads each to 8 bytes
+    group = F.shiftleft(F.col("token").cast("long"), 32) + F.col("b.block")
+    size = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.least("place", F.lit((1 << 28) - 1)).cast("long"), 3) + F.col("b.side") * 2 + F.col("probe").cast("int")
+    rows = rows.select(group.alias("group"), "doc_id", "spot", size.alias("size"), "parity")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "token", "block").sortWithinPartitions("token", "block", "doc_id", "spot")
+    return rows.repartition(n, "group").sortWithinPartitions("group", "doc_id", "spot")
 
 
 def _wanted(bits_of):
@@ -288,8 +293,10 @@ def later_matches(docs: DataFrame, percent: int = 80, least: int = 8) -> DataFra
     rest = pairs.filter("not complete").select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).distinct()
     rest = written(rest.join(found, ["doc_id", "spot"], "left_anti").withColumn("probe", F.lit(True)), "ld-rest")
     if not rest.isEmpty():
-        again = classes.drop("probe").join(rest, ["doc_id", "spot"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        more = written(_postings(again).mapInArrow(_candidates(percent, True), _PAIRS).drop("complete").distinct(), "ld-more")
+        again = written(classes.drop("probe").join(rest, ["doc_id", "spot"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "ld-again")
+        # only tokens that a probe has
+        asked = written(again.filter("probe").select(F.explode("tokens").alias("token")).distinct(), "ld-asked")
+        more = written(_postings(again, asked).mapInArrow(_candidates(percent, True), _PAIRS).drop("complete").distinct(), "ld-more")
         found = found.unionByName(written(_verified(more, docs, percent), "ld-found"))
     gone = classes.join(found.withColumn("gone", F.lit(True)), ["doc_id", "spot"], "left").filter("copies > 1 or gone")
     gone = written(gone.select("s0", "s1", F.col("doc_id").alias("f_doc"), F.col("spot").alias("f_spot"), F.coalesce("gone", F.lit(False)).alias("gone")), "ld-gone")
