@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import needs_diacritics
+from ..session import fixed, written
 from .phonology import analyses, compose, compositions, decompose, rimes, syllables
 
 # Confusions, each in both directions; * marks a spelling variant.
@@ -54,6 +55,10 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def closure(spark: SparkSession) -> DataFrame:
     """``kind, src, dst, variant, ord``: onset, rime and tone alternatives; coda and nucleus rules applied to all rimes."""
+    return fixed(spark, "closure", lambda: _closure(spark))
+
+
+def _closure(spark: SparkSession) -> DataFrame:
     r, all_rimes = rules(spark), rimes(spark).select("rime")
     plain = r.filter("kind in ('onset', 'tone')").select("kind", "src", "dst", "variant", "ord")
     # 26 rules in both directions against 160 rimes
@@ -127,10 +132,11 @@ def telex(words: DataFrame, column: str = "syllable") -> DataFrame:
 
 def candidates(words: DataFrame, attested: DataFrame, column: str = "syllable") -> DataFrame:
     """Structural and Telex candidates with ``rank`` by (edits, -frequency, text)."""
+    words = written(words.select(column).distinct(), "candidate-words")
     typed = telex(words, column).select("syllable", "text", F.lit("Telex").alias("reason"), F.lit(1).alias("edits"))
     known = attested.select(F.col("syllable").alias("text"), F.col("sentence_count").alias("frequency")).filter("frequency > 0")
     typed = typed.filter("text <> syllable").join(known, "text").select("syllable", "text", "reason", "edits", "frequency")
-    both = structural(words, attested, column).unionByName(typed)
+    both = written(structural(words, attested, column).unionByName(typed), "candidates")
     best = both.groupBy("syllable", "text").agg(F.min(F.struct("edits", (F.col("reason") == "Telex").alias("typed"), "reason")).alias("f"), F.max("frequency").alias("frequency"))
     order = Window.partitionBy("syllable").orderBy("edits", F.desc("frequency"), "text")
     return best.select("syllable", "text", "f.reason", "f.edits", "frequency").withColumn("rank", F.row_number().over(order))

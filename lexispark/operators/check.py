@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .candidates import candidates, top_candidates
 from .lexicon import Lexicon
 from .lm import contexts, scored
@@ -37,7 +38,7 @@ def classify(words: DataFrame, lex: Lexicon, unattested: bool = False) -> DataFr
     known = lex.attested.select(F.col("syllable").alias("norm"), F.lit(True).alias("known"))
     rows = words.filter("kind = 'Word' and protect is null").join(valid, "norm", "left").join(known, "norm", "left")
     # the distinct words decide; documents join their results
-    distinct = rows.select("norm", "valid", "known").distinct()
+    distinct = written(rows.select("norm", "valid", "known").distinct(), "check-words")
     bad = distinct.filter("valid is null" + (" or known is null" if unattested else ""))
     bad = bad.join(lex.accepted.select(F.col("token").alias("norm")), "norm", "left_anti")
     options = top_candidates(bad, lex.attested, "norm").withColumnRenamed("syllable", "norm")
@@ -60,13 +61,13 @@ _FIVE = ("l2", "l1", "x", "r1", "r2")
 
 def gains(places: DataFrame, attested: DataFrame, lex: Lexicon) -> DataFrame:
     """``l2, l1, x, r1, r2, text, reason, edits, rank, base, gain`` of distinct contexts and candidates."""
-    keys = places.select(*_FIVE).distinct()
+    keys = written(places.select(*_FIVE).distinct(), "gains-contexts")
     options = candidates(keys.select("x"), attested, "x").withColumnRenamed("syllable", "x")
-    tried = keys.join(options, "x")
+    tried = written(keys.join(options, "x"), "gains-tried")
     every = keys.select(*_FIVE, F.col("x").alias("y")).unionByName(tried.select(*_FIVE, F.col("text").alias("y")))
     steps = F.array(F.struct(F.col("l2").alias("a"), F.col("l1").alias("b"), F.col("y").alias("w")), F.struct(F.col("l1").alias("a"), F.col("y").alias("b"), F.col("r1").alias("w")), F.struct(F.col("y").alias("a"), F.col("r1").alias("b"), F.col("r2").alias("w")))
     grams = every.select(*_FIVE, "y", F.explode(steps).alias("g")).select(*_FIVE, "y", "g.*").filter("w is not null")
-    local = scored(grams, lex).groupBy(*_FIVE, "y").agg(F.sum("log_score").alias("local"))
+    local = written(scored(written(grams, "gains-grams"), lex).groupBy(*_FIVE, "y").agg(F.sum("log_score").alias("local")), "gains-local")
     base = local.filter("x = y").select(*[F.col(c).alias(f"b_{c}") for c in _FIVE], F.col("local").alias("base"))
     same = lambda p: [F.col(c).eqNullSafe(F.col(f"{p}_{c}")) for c in _FIVE]
     other = local.filter("x <> y").select(*[F.col(c).alias(f"o_{c}") for c in _FIVE], F.col("y").alias("o_y"), F.col("local").alias("changed"))
@@ -85,9 +86,7 @@ def real_words(words: DataFrame, lex: Lexicon, options: CheckOptions = CheckOpti
     places = places.join(left, ["l1", "x"], "left").join(right, ["x", "r1"], "left")
     fine = (F.col("l1").isNull() | F.coalesce("left_ok", F.lit(False))) & (F.col("r1").isNull() | F.coalesce("right_ok", F.lit(False)))
     places = places.filter(~fine)
-    if not options.unattested:
-        pass
-    else:
+    if options.unattested:
         places = places.join(lex.attested.select(F.col("syllable").alias("x")), "x", "left_semi")
     need = F.lit(options.margin) + F.lit(options.extra_edit_margin) * (F.col("edits") - 1)
     better = gains(places, lex.attested, lex).filter("reason <> 'Variant'").withColumn("surplus", F.col("gain") - need).filter("surplus >= 0")
@@ -99,7 +98,7 @@ def real_words(words: DataFrame, lex: Lexicon, options: CheckOptions = CheckOpti
 
 def check(docs: DataFrame, lex: Lexicon, options: CheckOptions = CheckOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All findings of all texts; order by ``doc_id, start_byte, layer`` to read them."""
-    words = tokens(docs, id_col, text_col)
+    words = written(tokens(docs, id_col, text_col), "check-tokens")
     marks = check_rules(docs, options.rules, id_col, text_col)
     marks = marks.select("doc_id", "start_byte", "end_byte", F.when(F.col("rule") == "capital", "Capitalization").otherwise("Punctuation").alias("kind"), "found", F.array("fix").alias("options"), "confidence", F.lit(0).alias("layer"))
     flagged = classify(words, lex, options.unattested)

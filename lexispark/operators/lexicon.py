@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def unigrams(lines: DataFrame) -> DataFrame:
     """``token, count, spread``: occurrences, and lines with the token, in one shuffle."""
@@ -58,6 +60,10 @@ class Lexicon:
     bigrams: DataFrame
     trigrams: DataFrame
 
+    def stored(self) -> Lexicon:
+        """The four tables written once, for all look-ups that follow."""
+        return Lexicon(*(written(getattr(self, k), f"lexicon-{k}") for k in ("attested", "accepted", "bigrams", "trigrams")))
+
     def stats(self) -> DataFrame:
         tables = {"attested": self.attested, "accepted": self.accepted, "bigrams": self.bigrams, "trigrams": self.trigrams}
         parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, df in tables.items()]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TONES, VOWELS, strip_tone, tone
+from ..session import fixed
 
 # Onsets with the class of vowels that may follow (F front, B back, A any).
 ONSETS = "b:A c:B ch:A d:A đ:A g:B gh:F gi:A h:A k:F kh:A l:A m:A n:A ng:B ngh:F nh:A p:A ph:A qu:A r:A s:A t:A th:A tr:A v:A x:A"
@@ -69,6 +70,10 @@ def _tone_places(rime: Column) -> Column:
 
 def compositions(spark: SparkSession) -> DataFrame:
     """``onset, rime, tone, placement, syllable``; placement 0 is the one that candidates use."""
+    return fixed(spark, "compositions", lambda: _compositions(spark))
+
+
+def _compositions(spark: SparkSession) -> DataFrame:
     vowels = spark.createDataFrame([(b, k, f) for b, forms in TONES.items() for k, f in enumerate(forms)], "vowel string, tone int, toned string")
     checked = F.col("rime").rlike("(ch|c|p|t)$")
     places = rimes(spark).select("rime", "q_only", F.posexplode(_tone_places(F.col("rime"))).alias("placement", "place"))
@@ -85,11 +90,15 @@ def compositions(spark: SparkSession) -> DataFrame:
 
 
 def syllables(spark: SparkSession) -> DataFrame:
-    return compositions(spark).select("syllable").distinct()
+    return fixed(spark, "syllables", lambda: _compositions(spark).select("syllable").distinct())
 
 
 def analyses(spark: SparkSession) -> DataFrame:
     """``untoned, onset, rime, ord``: all readings of a string without its tone, in order."""
+    return fixed(spark, "analyses", lambda: _analyses(spark))
+
+
+def _analyses(spark: SparkSession) -> DataFrame:
     r, o = rimes(spark).select("rime"), onsets(spark)
     bare = r.select(F.col("rime").alias("untoned"), F.lit("").alias("onset"), "rime", F.lit(0).alias("ord"))
     pairs = o.crossJoin(F.broadcast(r))

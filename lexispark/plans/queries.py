@@ -12,6 +12,7 @@ from ..operators import lexicon as lx
 from ..operators import lm, phonology, rules, tokens
 from ..operators.pages import clean_pages as pages_without_markup
 from ..operators.restore import restore
+from ..session import written
 from ..streaming.typing import words_batch
 from . import evaluate
 from .sql import SQL  # noqa: F401
@@ -148,13 +149,13 @@ def restore_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
+    lines = written(_lines(spark, sf_dir), "lines")
     rows = lm.scored(lm.line_contexts(lines), _every_word(lines))
     return rows.groupBy("doc_id").agg(F.round(F.sum("log_score"), 4).alias("log_score"), F.count("*").alias("words"))
 
 
 def local_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
+    lines = written(_lines(spark, sf_dir), "lines")
     rows = lm.local_scores(lm.line_contexts(lines), _every_word(lines), ["doc_id", "line"])
     return rows.groupBy("doc_id").agg(F.round(F.min("local"), 4).alias("lowest"), F.round(F.max("local"), 4).alias("highest"))
 
@@ -176,7 +177,7 @@ def punctuation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, lx.Lexicon]:
     docs = perturbed(_docs(spark, sf_dir))
-    lex = lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2)
+    lex = lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored()
     return docs, chk.check(docs, lex), lex
 
 
@@ -191,12 +192,12 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return chk.explain(docs, lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2)).select("doc_id", "pos", "word", F.round("base", 6).alias("base"), "text", "reason", F.round("gain", 6).alias("gain"), "place")
+    return chk.explain(docs, lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored()).select("doc_id", "pos", "word", F.round("base", 6).alias("base"), "text", "reason", F.round("gain", 6).alias("gain"), "place")
 
 
 def restore_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    out = restore(docs, lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2))
+    out = restore(docs, lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored())
     return out.select("doc_id", "restored", F.size("changes").alias("n_changes"))
 
 
@@ -204,9 +205,9 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors planted in clean conversation turns, and how the check finds them."""
     turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     known = lx.build(tokens.lines(turns), phonology.syllables(spark), 2, 2)
-    lex = lx.Lexicon(known.attested, lx.unigrams(tokens.lines(turns)).select("token").join(phonology.syllables(spark).withColumnRenamed("syllable", "token"), "token", "left_anti"), known.bigrams, known.trigrams)
+    lex = lx.Lexicon(known.attested, lx.unigrams(tokens.lines(turns)).select("token").join(phonology.syllables(spark).withColumnRenamed("syllable", "token"), "token", "left_anti"), known.bigrams, known.trigrams).stored()
     options = chk.CheckOptions(margin=3.0)
-    planted = evaluate.inject_errors(turns, chk.check(turns, lex, options).filter("layer > 0"), lex, least_words=1)
+    planted = written(evaluate.inject_errors(turns, chk.check(turns, lex, options).filter("layer > 0"), lex, least_words=1), "planted")
     return evaluate.metrics(planted, chk.check(planted.select("doc_id", "text"), lex, options))
 
 
