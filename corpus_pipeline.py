@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; ``n_chars`` follows the text. A text of nothing but repeated lines is dropped."""
     out = linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return out.filter((F.col("removed_lines") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    return out.filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
