@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 UNITS, SHORT = 64, 64
 
 
@@ -125,6 +127,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = placed.filter("doc_id is not null").groupBy("bucket").agg(F.min("doc_id").alias("head"))
     order = Window.orderBy("bucket")
     heads = heads.select("bucket", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
+    # a table of known size, so that Spark needn't shuffle the texts to meet it
+    heads = written(heads, "fp-heads")
     follow = heads.join(plain.select(F.col("doc_id").alias("head"), F.col("text")), "head").groupBy("bucket").agg(F.min("text").alias("text"))
     follow = follow.select(F.col("bucket").alias("b"), F.struct("text", _tree(F.col("text")).alias("tree")).alias("after"))
     rows = placed.select("bucket", "doc_id", "text", _tree(F.col("text")).alias("tree"))
