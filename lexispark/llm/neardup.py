@@ -152,13 +152,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between nodes that give the components."""
     bands = classes.select("node", "registers").mapInArrow(_bands, "band long, node long")
-    centres = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    active = written(bands.join(centres, "band"), "nd-active")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    active = written(bands.join(shared, "band"), "nd-shared")
+    # a band's centre is its node with the most company in all bands: what a group's copies agree on
+    company = written(active.groupBy("node").agg(F.sum("n").alias("company")), "nd-company")
+    centres = written(active.join(company, "node").groupBy("band").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "nd-centres")
+    active = written(active.select("band", "node").join(centres, "band"), "nd-active")
     wanted = active.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "node long, set_id binary, shingles array<bigint>")
     sets = written(sets.join(classes.select("node", "set_id"), ["node", "set_id"], "left_semi").select("node", "shingles"), "nd-sets")
-    edges = _confirmed(active.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, sets, percent)
+    edges = _confirmed(active.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")), classes, sets, percent)
     for attempt in range(ROUNDS):
         labels = written(components(edges, "a", "b"), "nd-labels")
         placed = active.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
@@ -168,7 +172,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         size = parted.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.sum("n")).first()
         if not size[0]:
             return edges
-        if size[0] <= 8 * size[1] or attempt == ROUNDS - 1:
+        if size[0] <= size[1] / 2 or attempt == ROUNDS - 1:
             break
         # another centre in each band: a member of the component that has most of it
         turn = F.xxhash64("node", F.lit(attempt))
