@@ -9,7 +9,8 @@ smaller, equal and larger registers; what could reach the threshold is confirmed
 
 Equal sets are one class with its smallest doc_id as node. Inside a band each class is compared with
 one centre, not with all others; only what still lies in different components of the same band is
-compared further, first with other centres, then pair by pair. Links inside a component change nothing.
+compared further, first with other centres, then in memory by blocks of the band, which only likely pairs
+leave. Links inside a component change nothing.
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ REGISTERS, BAND = 126, 3
 BASE = 1.001
 _MULTIPLIERS = (np.random.default_rng(4051).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _SALTS = np.random.default_rng(4052).integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
-#: A pair whose likelihood peaks below this is left: 6 standard errors under the threshold.
-ESTIMATE = 0.5
-#: Star rounds before all remaining pairs are compared.
+#: A pair whose likelihood peaks below this is left: over 4 standard errors under the threshold.
+ESTIMATE = 0.58
+#: Star rounds, at most, before all that remains in a band is compared.
 ROUNDS = 4
+#: Bits of a set's parity, by which what is compared in a band is bounded without error.
+PARITY = 1024
+#: Nodes of a band in one block.
+BLOCK = 2048
 WORDS = 5
 
 
@@ -113,6 +118,77 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, n_a, n_b)], ["a", "b", "n_a", "n_b"])
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each of ``PARITY`` places of shingles, whether the set has an odd number there."""
+    for batch in batches:
+        sets = batch.column(1)
+        flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) for x in sets)])
+        bits = [np.packbits(np.bincount(flat[i:j] & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["node", "parity"])
+
+
+def _met(percent: int):
+    """Likely pairs inside each band and block, of rows sorted by both."""
+    names = ["band", "block", "side", "node", "component", "size", "registers", "parity"]
+
+    def meet(c: dict[str, np.ndarray], r: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, node, component, side = c["size"], c["node"], c["component"], c["side"]
+        number = int(c["band"][0].view(np.uint64) >> np.uint64(48))
+        step = max(1, (1 << 20) // len(node))
+        for i in range(0, len(node), step):
+            x, y = np.arange(i, min(i + step, len(node)))[:, None], np.arange(i, len(node))[None, :]
+            ok = (x < y) & (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] == 0))
+            ok &= (100 * size[x] >= percent * size[y]) & (100 * size[y] >= percent * size[x])
+            p, q = np.nonzero(ok)
+            p, q = p + i, q + i
+            for k in range(0, len(p), 8192):
+                a, b = p[k : k + 8192], q[k : k + 8192]
+                # at least as many shingles differ as bits
+                near = np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (size[a] + size[b])
+                a, b = a[near], b[near]
+                if not len(a):
+                    continue
+                same = r[a] == r[b]
+                # a pair comes from the first band that it shares
+                first = same.reshape(len(a), -1, BAND).all(2).argmax(1) == number
+                likely = np.flatnonzero(first & (same.sum(1) >= ESTIMATE * REGISTERS - 2 * REGISTERS**0.5))
+                a, b = a[likely], b[likely]
+                if len(a):
+                    likely = similarity(r[a], r[b], size[a].astype(float), size[b].astype(float)) >= ESTIMATE
+                    a, b = a[likely], b[likely]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (node[a], node[b], size[a], size[b])], ["a", "b", "n_a", "n_b"])
+
+    def groups(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        band, block = c["band"], c["block"]
+        edge = np.flatnonzero((band[1:] != band[:-1]) | (block[1:] != block[:-1])) + 1
+        for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(band)], strict=True):
+            if j - i > 1:
+                one = {k: v[i:j] for k, v in c.items()}
+                r, parity = (np.frombuffer(b"".join(one[k].tolist()), t).reshape(j - i, -1) for k, t in (("registers", np.uint16), ("parity", np.uint64)))
+                yield from meet(one, r, parity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+            keys = c["band"][-1], c["block"][-1]
+            cut = int(np.flatnonzero((c["band"] == keys[0]) & (c["block"] == keys[1]))[0])
+            if cut or last != keys:
+                held.append({k: v[:cut] for k, v in c.items()})
+                yield from groups({k: np.concatenate([h[k] for h in held]) for k in names})
+                held = []
+            held.append({k: v[cut:] for k, v in c.items()})
+            last = keys
+        if held:
+            yield from groups({k: np.concatenate([h[k] for h in held]) for k in names})
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -163,25 +239,43 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sets = texts.mapInArrow(_sets, "node long, set_id binary, shingles array<bigint>")
     sets = written(sets.join(classes.select("node", "set_id"), ["node", "set_id"], "left_semi").select("node", "shingles"), "nd-sets")
     edges = _confirmed(active.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")), classes, sets, percent)
-    for attempt in range(ROUNDS):
+    for attempt in range(ROUNDS + 1):
         labels = written(components(edges, "a", "b"), "nd-labels")
         placed = active.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        parted = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-        parted = parted.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("parts")).filter("parts > 1")
-        active = written(placed.join(parted.select("band"), "band"), f"nd-open-{attempt}")
-        size = parted.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.sum("n")).first()
-        if not size[0]:
+        parted = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+        active = written(placed.join(parted.select("band", "n"), "band"), f"nd-open-{attempt}")
+        open_rows = active.count()
+        if not open_rows:
             return edges
-        if size[0] <= size[1] / 2 or attempt == ROUNDS - 1:
+        if attempt == ROUNDS:
             break
         # another centre in each band: a member of the component that has most of it
         turn = F.xxhash64("node", F.lit(attempt))
         largest = active.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("node", turn).alias("centre")).groupBy("band").agg(F.max_by(F.struct("centre", "component"), F.struct("n", "component")).alias("c"))
-        star = active.join(written(largest.select("band", "c.*").withColumnRenamed("component", "other"), "nd-centres"), "band").filter("component <> other")
-        edges = edges.unionByName(_confirmed(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, sets, percent))
-    left, right = active.select("band", F.col("node").alias("a"), F.col("component").alias("c_a")), active.select("band", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    rest = left.join(right, "band").filter("c_a < c_b").select("a", "b")
-    return edges.unionByName(_confirmed(rest, classes, sets, percent))
+        star = active.select("band", "node", "component").join(written(largest.select("band", "c.*").withColumnRenamed("component", "other"), "nd-centres"), "band").filter("component <> other")
+        found = _confirmed(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, sets, percent)
+        edges = edges.unionByName(found)
+        if 1000 * found.count() <= open_rows:
+            break
+    return edges.unionByName(_verified(_compared(active, classes, sets, percent), sets, percent))
+
+
+def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of ``active`` (``band, node, component, n``), each from the first band that both share.
+
+    Nodes of a band meet in memory, so that only likely pairs leave it. A band of many nodes is dealt out
+    as pairs of blocks, of which no task holds more than two.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = active.select("band", "node", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least("own", k) * F.col("blocks") + F.greatest("own", k)).alias("block"), F.when(k == F.col("own"), 0).when(k > F.col("own"), 1).otherwise(2).alias("side")))
+    parities = sets.join(active.select("node").distinct(), "node", "left_semi").mapInArrow(_parities, "node long, parity binary")
+    about = classes.select("node", F.col("n").alias("size"), "registers").join(parities, "node")
+    rows = rows.join(written(about.distinct(), "nd-about"), "node")
+    rows = rows.withColumn("m", F.explode(meet)).select("band", F.col("m.block").alias("block"), F.col("m.side").alias("side"), "node", "component", "size", "registers", "parity")
+    n = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "band", "block").sortWithinPartitions("band", "block")
+    return written(rows.mapInArrow(_met(percent), "a long, b long, n_a long, n_b long"), "nd-likely")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,6 +284,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     sized = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
     sized = sized.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "r_a", "r_b")
     likely = written(sized.mapInArrow(_likely, "a long, b long, n_a long, n_b long"), "nd-likely")
+    return _verified(likely, sets, percent)
+
+
+def _verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = likely.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
     common = full.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
     return written(common.filter(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b"), "nd-links")

@@ -103,6 +103,17 @@ def test_near_duplicates(docs, empty, few, monkeypatch):
         assert [tuple(x) for x in neardup.near_duplicates(null).collect()] == [(None, 1, None, True)]
 
 
+@pytest.mark.parametrize("rounds, block", [(0, 3), (4, 2048)])
+def test_near_duplicates_around_the_threshold(spark, rounds, block, monkeypatch):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = {k: edited(BASE if k % 2 else TEXTS[-3], k % 4, 100 + k) for k in range(70)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(table).collect()}
+    assert got == groups(texts)
+    assert 2 < len({x[1] for x in got.values()}) < 70
+
+
 def test_sketches_merge_and_estimate():
     import numpy as np
 
