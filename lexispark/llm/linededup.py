@@ -6,7 +6,8 @@ everywhere and the filters stay exact. Two lines whose Jaccard similarity reache
 token in the prefixes of that order (prefix filter), at places that leave enough tokens behind
 (positional filter), and have lengths within the threshold (length filter). Each line also has 64 bits
 of token parity: two lines differ in at least as many tokens as in bits. What passes is verified on all
-tokens. Lines of equal token sets are one class, which its first line stands for.
+tokens. Lines of equal token sets are one class, which its first line stands for; where one word more or
+less is below the threshold already (up to 3 words at 80 %), only the class can match, and it has no prefix.
 
 A line goes if an earlier line, by (document, line), has a similar set. For each of its prefix tokens a
 line keeps its likeliest earlier lines, up to ``PARTNERS``; one that had more and found no match goes
@@ -112,7 +113,8 @@ def _lines(levels_of, percent: int, least: int):
                 group = np.repeat(np.arange(len(n)), n)
                 at = np.arange(len(tokens)) - first[group]
                 level = levels[_place(tokens)]
-                posted = kept[group] & (at < (n + (-n * percent // 100) + 1)[group]) & (level > 0)
+                # n of n + 1 words are the likest that another set can be
+                posted = (kept & (100 * n >= percent * (n + 1)))[group] & (at < (n + (-n * percent // 100) + 1)[group]) & (level > 0)
                 number = np.cumsum(kept) - 1
                 sizes = np.bincount(number[group[posted]], minlength=int(kept.sum()))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -281,7 +283,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).distinct()
 
 
-def later_matches(docs: DataFrame, percent: int = 80, least: int = 8) -> DataFrame:
+def later_matches(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """``doc_id, tie, line`` of each line that an earlier one matches; ``docs``: ``doc_id, text``."""
     docs = docs.filter("doc_id is not null and text is not null")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(docs).tobytes())
@@ -347,13 +349,13 @@ def _without(n_columns: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 1) -> DataFrame:
     """``docs`` without the lines that an earlier line matches, with the columns ``lines`` and ``removed_lines``
     (with a leading underscore for as long as ``docs`` has such a name).
 
     Lines end at line feeds. A line matches an earlier one, by (id, line), if the distinct words of both,
-    with A-Z as a-z, reach a Jaccard similarity of ``percent`` / 100. Lines with fewer than ``least``
-    distinct words stay. Rows with a null id or text stay as they are, with 0 removed. Rows that repeat
+    with A-Z as a-z, reach a Jaccard similarity of ``percent`` / 100. Lines without a word, and those
+    with fewer than ``least`` distinct words, stay. Rows with a null id or text stay as they are, with 0 removed. Rows that repeat
     id and text count as one document and lose the same lines; of rows that share an id but not the
     text, a fixed one comes first. A document may be left with an empty text, but no row goes. An empty
     table gives an empty result. Other columns pass through.

@@ -235,6 +235,27 @@ def test_lines(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark):
+    """The values of the registered query: copies of short lines go as well, near copies from 4 words up."""
+    q = random.Random(8)
+    some = lambda: " ".join(q.choice("abcdefg") for _ in range(q.randint(0, 7)))
+    texts = ["\n".join([some(), "Page 1", "Home", some()]) for _ in range(60)] + ["one two three four", "one two three four five", "one two three", "x\n\n \nX\nHOME"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.text, x.removed_lines) for x in linededup.dedup_lines(table).collect()}
+    seen, want = [], {}
+    for k, t in enumerate(texts):
+        kept = []
+        for line in t.split("\n"):
+            s = frozenset(line.lower().split())
+            if not s or not any(100 * len(s & y) >= 80 * len(s | y) for y in seen):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want[k] = ("\n".join(kept), t.count("\n") + 1 - len(kept))
+    assert got == want
+    assert want[61][1] == 1 and want[63] == ("x\n\n ", 2)
+
+
 def test_urls(spark):
     rows = [(1, "https://EXAMPLE.org/es/x"), (2, "http://a.example.org/en/12?q"), (3, "https://b.org/"), (4, "https://b.org"), (5, None), (6, "nothing"), (7, "https://x.com/de/1"), (8, "https://x.com/fr/1#t"), (9, "https://free-bets.example.net/"), (None, "https://notexample.org/es/")]
     got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlrules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
