@@ -1,7 +1,8 @@
 """URL filters, in DataFrame functions only.
 
 Address rules (``action host/path``) fit a host with all its subdomains and the paths that start with
-theirs; the longest wins. Pattern rules are regular expressions with a literal that each match holds.
+theirs; the longest wins. Pattern rules are regular expressions with a literal that each match holds; one
+whose alternatives hold different literals has an entry for each.
 Both kinds are indexed by their rarest literal token: token counts over the URLs choose it, a URL's
 tokens fetch the rules of their entries, and only those are tried.
 """
@@ -53,8 +54,10 @@ ADDRESS_RULES = (
     address_rule("block", "com/de/"),
 )
 PATTERN_RULES = (
+    pattern_rule("block", r"(^|[.-])(free-)?bets?[.-]", "bet"),
     pattern_rule("block", r"(^|[.-])(free-)?bets?[.-]", "bets"),
     pattern_rule("block", r"(^|[.-])casinos?[.-]", "casino"),
+    pattern_rule("block", r"(^|[.-])casinos?[.-]", "casinos"),
     pattern_rule("block", r"(^|[./-])(xxx|porn)([./-]|$)", "porn"),
     pattern_rule("block", r"(^|[./-])(xxx|porn)([./-]|$)", "xxx"),
     pattern_rule("block", r"(^|[.-])cheap-pills[.-]", "pills"),

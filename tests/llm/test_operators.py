@@ -265,6 +265,19 @@ def test_urls(spark):
     }
 
 
+def test_url_patterns_against_all_on_all(spark):
+    names = ["bet", "bets", "free-bet", "free-bets", "casino", "casinos", "xxx", "porn", "cheap-pills", "warez", "alphabets", "betsy", "pills", "casinosx"]
+    urls = [u for n in names for u in (f"http://{n}.example.net/", f"http://www.{n}.net/", f"http://a-{n}-b.net", f"http://x.net/{n}", f"http://x.net/a/{n}-b/c", f"http://x.net/a.{n}.c", f"http://{n.upper()}.net/", f"http://x{n}x.net/")]
+    got = {x.page_id: (x.verdict, x.pattern) for x in urlrules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), address_rules=()).collect()}
+    want = {}
+    for k, u in enumerate(urls):
+        host, slash, path = u.split("://")[1].partition("/")
+        first = next((p.pattern for p in urlrules.PATTERN_RULES if re.search(p.pattern, host.lower() + slash + path)), None)
+        want[k] = ("block" if first else "allow", first)
+    assert got == want
+    assert all(want[names.index(n) * 8][0] == "block" for n in names[:10])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
