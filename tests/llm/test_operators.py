@@ -191,6 +191,17 @@ def test_language(spark):
     assert tuple(page.select(langid.markup_language(F.col("h")), langid.address_suffix(F.col("u"))).first()) == ("de", "org")
 
 
+def test_every_label_is_a_language(spark):
+    """Rare languages, and one whose rows are copies of one text, are fitted from a sample smaller than the table."""
+    rows = [(f"the text of number {k}", "en") for k in range(2000)] + [("ein und derselbe satz", "de")] * 300 + [(f"{chr(97 + k) * 9} rare", f"x{k}") for k in range(10)] + [("the text of number 5", "yy"), (None, "zz"), ("no label", None)]
+    table = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    model = langid.fit(table, rows=26)
+    assert model.languages == ["de", "en", *(f"x{k}" for k in range(10)), "yy"]
+    assert langid.fit(table.limit(0)).languages == []
+    got = langid.identify(spark.createDataFrame([(k, f"{chr(97 + k) * 9} rare") for k in range(10)], "doc_id long, text string"), model).collect()
+    assert {x.doc_id: x.language for x in got} == {k: f"x{k}" for k in range(10)}
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "x\nplain"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), (4, "a/b/d/e.py", None), (5, "a/f.py", "# This work is licensed under the GNU General Public License, version 3."), (6, "z.py", "nothing"), (7, None, "")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
