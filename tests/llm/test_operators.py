@@ -210,6 +210,24 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_units(spark):
+    """Titles, tags, inline notices, wrapped comment headers, and whole licence files."""
+    import textwrap
+
+    wrapped = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 60))
+    texts = {x: t for x, t, _ in licenses.templates()[-len(licenses.WHOLE) :]}
+    code = "\nimport os\n\ndef run(path):\n    return os.listdir(path)\n" * 20
+    cases = [
+        ("MIT", "MIT License"), ("BSD-3-Clause", "BSD 3-Clause License\n"), ("MIT", "// SPDX-License-Identifier: MIT\n" + code), ("MIT", "Distributed under the MIT license."), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+        ("Proprietary", "Copyright (c) 2020 Jane Doe. All rights reserved."), ("Apache-2.0", "Our parser was written for speed last spring. Licensed under the Apache License, Version 2.0. Ask the maintainers for help with it."),
+        ("MIT", "Copyright (c) 2020 Jane Doe. All rights reserved.\n\n" + texts["MIT"]), (None, "The tax office gave no licence to anybody in town."), (None, code),
+        *((x, wrapped(t[0], " * ") + code) for x, t in licenses.HEADERS.items()), *((x, "Copyright (c) 2020 Jane Doe\n\n" + t) for x, t in texts.items()), ("GPL-2.0", wrapped(licenses.HEADERS["GPL-2.0"][0], "# ").replace("This program", "Frobnicator", 1) + code),
+    ]
+    df = spark.createDataFrame([(k, f"d{k}/x", t) for k, (_, t) in enumerate(cases)] * 2, "doc_id long, path string, text string")
+    got = {x.doc_id: x.own_license for x in licenses.scan(df).collect()}
+    assert [(k, cases[k][1][:60], got[k]) for k in got if got[k] != cases[k][0]] == []
+
+
 @pytest.mark.parametrize("window", [7, 2048])
 def test_packing(docs, empty, ids, window):
     import numpy as np
