@@ -11,8 +11,11 @@ less is below the threshold already (up to 3 words at 80 %), only the class can
 
 A line goes if an earlier line, by (document, line), has a similar set. For each of its prefix tokens a
 line keeps its likeliest earlier lines, up to ``PARTNERS``; one that had more and found no match goes
-through all of them in a second pass. So a group of copies costs its size, not its square. Tokens in
-very many prefixes are dealt out as pairs of blocks of lines.
+through all of them in a second pass. So a group of copies costs its size, not its square.
+
+The scan drops what repeats within a task before anything moves, and packs the rest by destination:
+classes by their hash, prefix tokens by the token, one column after the other. Tokens that are common in the corpus
+go another way, as rows that are counted first and dealt out as pairs of blocks of lines.
 """
 
 from __future__ import annotations
@@ -25,16 +28,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, short_batches, slices, written, xxhash64
+from .common import bitmap, forget, in_bitmap, short_batches, slices, written, xxhash64
 from .textscan import mix, words
 
-COUNT_BITS = 24
+COUNT_BITS, RANGE_BITS = 24, 14
 #: Candidates of a line for one token in the first pass; the second has no limit.
 PARTNERS = 8
-#: Lines of a token in one block.
-BLOCK = 1 << 15
-_HOT_LEVEL = 8 * 15
+#: Lines of a common token in one block.
+BLOCK = 1 << 14
+#: Tokens from this level on, 2^20 occurrences, are common.
+COMMON_LEVEL = 8 * 20
+#: Lines of a task that are put together before they are packed.
+HELD = 1 << 17
+#: Words of the corpus for one partition of prefix tokens, of which a line has a fifth of its words at most.
+WORDS_EACH = 5_000_000
 _TIE = (1 << 24) - 1
+_PROBE = 1 << 30
+_GONE, _CLASS, _POSTING, _COMMON, _PAIR = range(5)
 
 
 def _tie(texts: list[str | None]) -> np.ndarray:
@@ -46,6 +56,27 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns))
+
+
+def _unpacked(blobs: list[bytes], *kinds) -> list[np.ndarray]:
+    import zstandard
+
+    unpack, sizes = zstandard.ZstdDecompressor().decompress, [np.dtype(k).itemsize for k in kinds]
+    parts: list[list[np.ndarray]] = [[np.empty(0, k)] for k in kinds]
+    for blob in blobs:
+        a, at = np.frombuffer(unpack(blob), np.uint8), 0
+        n = len(a) // sum(sizes)
+        for out, kind, size in zip(parts, kinds, sizes, strict=True):
+            out.append(np.ascontiguousarray(a[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+            at += n * size
+    return [np.concatenate(p) for p in parts]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
     for batch in batches:
@@ -53,26 +84,48 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(texts):
             at, n = np.unique(_place(words(texts[i:j])[0]), return_counts=True)
             total[at] += n.astype(np.uint32)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["place", "n"])
+    for k, part in enumerate(total.reshape(-1, 1 << RANGE_BITS)):
+        at = np.flatnonzero(part)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(at.astype(np.uint16), part[at])], pa.binary())], ["range", "data"])
 
 
-def _levels(docs: DataFrame) -> np.ndarray:
-    """Rarity of each place as a byte: 0 for one occurrence, else a step for each eighth of a doubling."""
-    table = docs.select("text").mapInArrow(_counts, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1").select("place", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("smallint").alias("level")).toArrow()
-    out = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
-    out[table.column("place").to_numpy()] = table.column("level").to_numpy().astype(np.uint8)
-    return out
+def _as_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, n = _unpacked([data], np.uint16, np.uint32)
+            totals.setdefault(k, np.zeros(1 << RANGE_BITS, np.int64))[at] += n
+    for k, n in totals.items():
+        level = np.where(n > 1, np.minimum(255, np.floor(8 * np.log2(np.maximum(n, 1)))), 0).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([level.tobytes()], pa.binary())], ["range", "words", "levels"])
+
+
+def _levels(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Rarity of each place as a byte: 0 for one occurrence, else a step for each eighth of a doubling. And all words."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("text").mapInArrow(_counts, "range int, data binary")
+    table = packed.repartition(n, "range").mapInArrow(_as_levels, "range int, words long, levels binary").toArrow()
+    out = np.zeros((1 << (COUNT_BITS - RANGE_BITS), 1 << RANGE_BITS), dtype=np.uint8)
+    for k, levels in zip(table.column("range").to_pylist(), table.column("levels").to_pylist(), strict=True):
+        out[k] = np.frombuffer(levels, np.uint8)
+    return out.ravel(), sum(table.column("words").to_pylist())
 
 
-def _token_sets(texts: list[str | None], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with a word: document, line, first and last place in ``tokens``; distinct tokens, rare first."""
+def _token_sets(texts: list[str | None], levels: np.ndarray, asked=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with a word: document, line, first and last place in ``tokens``; distinct tokens, rare first.
+
+    With ``asked`` only lines with a token that it tells.
+    """
     h, doc, line = words(texts)
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])) if len(h) else h
+    if asked is not None and len(h):
+        wanted = np.logical_or.reduceat(asked(h), new)
+        every = np.repeat(wanted, np.diff(np.concatenate([new, [len(h)]])))
+        h, doc, line = h[every], doc[every], line[every]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])) if len(h) else h
     if not len(h):
-        return (np.empty(0, np.int64),) * 4 + (h,)
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]))
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     group = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [len(h)]])))
     level = levels[_place(h)].astype(np.uint64)
     if len(new) < 1 << 16:
@@ -90,155 +143,279 @@ def _token_sets(texts: list[str | None], levels: np.ndarray) -> tuple[np.ndarray
     return doc[new], line[new], first, np.concatenate([first[1:], [len(h)]]), h
 
 
-_LINES = "doc_id long, spot long, s0 long, s1 long, n int, parity long, tokens array<int>, places array<int>"
-_HOT = 1 << 30
+def _by_bucket(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
+    """Rows of one kind, packed for each bucket; within one they keep their order."""
+    if not len(bucket):
+        return []
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+    return [(int(bucket[i]), kind, _pack(*(c[order[i:j]] for c in columns))) for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
 
 
-def _lines(levels_of, percent: int, least: int):
-    """Lines with at least ``least`` distinct tokens; ``tokens`` and ``places`` are the prefix without tokens that occur once."""
+def _scan(shared, percent: int, least: int, n_buckets: int, second: bool):
+    """``bucket, kind, data``: lines that repeat an earlier one of the task, classes, prefix tokens.
+
+    In the second pass only prefix tokens that are asked for, of lines that have one; the lines that ask are marked.
+    """
+
+    common_level, most = COMMON_LEVEL, HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(levels_of.value, np.uint8)
+        from pyspark import TaskContext
+
+        levels = np.frombuffer(shared.value[0], np.uint8)
+        asked = probes = None
+        if second:
+            tokens_asked, probes = (np.frombuffer(x, np.int64) for x in shared.value[1:])
+            asked = lambda h: in_bitmap(tokens_asked, (h >> np.uint64(32)).view(np.int64))
+        turn = TaskContext.get().partitionId()
+        held: list[tuple[np.ndarray, ...]] = []
+        posted_of: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
+            s0, s1, doc, spot, n, parity = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, place, at = (np.concatenate(c) for c in zip(*posted_of, strict=True))
+            held.clear()
+            posted_of.clear()
+            order = np.lexsort((spot, doc, s1, s0))
+            first = np.ones(len(order), dtype=bool)
+            first[order[1:]] = (s0[order[1:]] != s0[order[:-1]]) | (s1[order[1:]] != s1[order[:-1]])
+            out = []
+            if not second:
+                gone = np.flatnonzero(~first)
+                if len(gone):
+                    out.append((turn % n_buckets, _GONE, _pack(doc[gone], spot[gone])))
+                    turn += 1
+                one = order[first[order]]
+                out += _by_bucket(_CLASS, (s0[one] % np.uint64(n_buckets)).astype(np.int32), [s0[one], s1[one], doc[one], spot[one]])
+            mine = first[at]
+            token, place, at = token[mine], place[mine], at[mine]
+            group = (token >> np.uint64(32)).astype(np.uint32)
+            common = levels[_place(token)] >= common_level
+            for kind, rows in ((_POSTING, np.flatnonzero(~common)), (_COMMON, np.flatnonzero(common))):
+                rows = rows[np.argsort(group[rows], kind="stable")]
+                k = at[rows]
+                bucket = group[rows] % np.uint32(n_buckets) if kind == _POSTING else s0[k] % np.uint64(n_buckets)
+                out += _by_bucket(kind, bucket.astype(np.int32), [group[rows], s0[k], doc[k], spot[k], n[k], place[rows], parity[k]])
+            for i in range(0, len(out), 64):
+                b, k, data = zip(*out[i : i + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+        size = 0
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
             ties = _tie(texts)
             for i, j in slices(texts):
-                doc, line, first, last, tokens = _token_sets(texts[i:j], levels)
+                doc, line, first, last, tokens = _token_sets(texts[i:j], levels, asked)
                 n = last - first
                 kept = n >= least
                 if not kept.any():
                     continue
-                s0, s1 = (np.add.reduceat(mix(x), first)[kept].view(np.int64) for x in (tokens, tokens ^ np.uint64(0x5851F42D4C957F2D)))
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first)[kept].view(np.int64)
-                group = np.repeat(np.arange(len(n)), n)
-                at = np.arange(len(tokens)) - first[group]
-                level = levels[_place(tokens)]
+                s0, s1 = (np.add.reduceat(mix(x), first)[kept] for x in (tokens, tokens ^ np.uint64(0x5851F42D4C957F2D)))
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first)[kept]
                 # n of n + 1 words are the likest that another set can be
-                posted = (kept & (100 * n >= percent * (n + 1)))[group] & (at < (n + (-n * percent // 100) + 1)[group]) & (level > 0)
+                prefix = np.where(kept & (100 * n >= percent * (n + 1)), n + (-n * percent // 100) + 1, 0)
+                at = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                of = np.repeat(np.arange(len(n)), prefix)
+                token = tokens[first[of] + at]
+                posted = levels[_place(token)] > 0
+                if second:
+                    posted &= asked(token)
+                token, at, of = token[posted], at[posted], of[posted]
                 number = np.cumsum(kept) - 1
-                sizes = np.bincount(number[group[posted]], minlength=int(kept.sum()))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                as_lists = lambda x, offsets=offsets: pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32)))
                 d = doc[kept] + i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[d]), pa.array(line[kept] << 24 | ties[d]), pa.array(s0), pa.array(s1), pa.array(n[kept].astype(np.int32)), pa.array(parity), as_lists((tokens[posted] >> np.uint64(32)).astype(np.uint32).view(np.int32)), as_lists(np.minimum(at[posted], _HOT - 1) | np.where(level[posted] >= _HOT_LEVEL, _HOT, 0))],
-                    [f.split(" ")[0] for f in _LINES.split(", ")],
-                )
+                id_, spot = ids[d].astype(np.int64), line[kept] << 24 | ties[d]
+                mark = in_bitmap(probes, xxhash64(id_, spot)) if second else np.ones(len(d), dtype=bool)
+                held.append((s0, s1, id_, spot, n[kept].astype(np.int32), parity))
+                posted_of.append((token, np.minimum(at, _PROBE - 1).astype(np.int32) | np.where(mark[number[of]], _PROBE, 0).astype(np.int32), size + number[of]))
+                size += len(d)
+                if size >= most:
+                    yield from packed()
+                    size = 0
+        if held:
+            yield from packed()
 
     return run
 
 
-_PAIRS = "x_doc long, x_spot long, y_doc long, y_spot long, x_n int, y_n int, complete boolean"
+def _within(percent: int, c: dict[str, np.ndarray]):
+    """Which pairs of rows the filters leave, and in how many bits they differ; the cheap test comes first."""
+    n, parity, place = c["n"], c["parity"], c["place"]
+
+    def test(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        differ = np.bitwise_count(parity[x] ^ parity[y])
+        ok = np.flatnonzero(differ.astype(np.int32) * np.int32(100 + percent) <= np.int32(100 - percent) * (n[x] + n[y]))
+        x, y, differ = x[ok], y[ok], differ[ok].astype(np.int32)
+        behind = np.minimum(n[x] - place[x], n[y] - place[y]).astype(np.int64)
+        both = n[x].astype(np.int64) + n[y]
+        ok = (100 * n[x].astype(np.int64) >= percent * n[y].astype(np.int64)) & (100 * n[y].astype(np.int64) >= percent * n[x].astype(np.int64)) & (behind * (100 + percent) >= percent * both)
+        return x[ok], y[ok], differ[ok], 2 * differ[ok] * (100 + percent) <= (100 - percent) * both[ok]
+
+    return test
 
 
-def _candidates(percent: int, probes: bool):
-    """Pairs of a line and earlier ones with the same token, of rows sorted by token, block, document and spot.
+def _meet(c: dict[str, np.ndarray], percent: int, limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row and earlier ones of its group, ``x, y, differ, complete``, of rows sorted by group, document and spot.
 
-    ``probe``: whether the row looks for earlier lines; ``side``: rows of a pair of two blocks meet only
-    the other side. In the first pass the likeliest ``PARTNERS`` are kept, ``complete`` tells if these are all.
+    ``probe``: whether the row looks for earlier lines; ``side``, if given: rows of a pair of two blocks
+    meet only the other side. The likeliest ``limit`` are kept, or all; ``complete`` tells if
+    these are all. Once a row has so many that differ in half of what they may, it looks no further.
+    """
+    test, side = _within(percent, c), c.get("side")
+    everything, limit = limit is None, limit or len(c["group"])
+    new = np.flatnonzero(np.concatenate([[True], c["group"][1:] != c["group"][:-1]]))
+    size = np.diff(np.concatenate([new, [len(c["group"])]]))
+    out: list = []
+    stopped = np.zeros(len(c["group"]), dtype=bool)
+
+    def apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if side is None:
+            return x, y
+        ok = (side[x] != side[y]) | (side[x] == 0)
+        return x[ok], y[ok]
+
+    # small groups together, by the distance of the rows
+    rank = np.arange(len(stopped)) - np.repeat(new, size)
+    at = np.flatnonzero(np.repeat((size <= 64) & (size > 1), size) & (rank > 0) & c["probe"])
+    d = 1
+    while len(at):
+        out.append(test(*apart(at, at - d))[:3])
+        d += 1
+        at = at[rank[at] >= d]
+    for begin, n in zip(new[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        for i in range(begin, begin + n, 1024):
+            x = np.arange(i, min(i + 1024, begin + n))
+            x = x[c["probe"][x]]
+            likely = np.zeros(1024, dtype=np.int64)
+            for j in range(begin, i + 1, 1024):
+                if not len(x):
+                    break
+                y = np.arange(j, min(j + 1024, begin + n))
+                a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+                if j == i:
+                    a, b = a[b < a], b[b < a]
+                a, b, differ, near = test(*apart(a, b))
+                out.append((a, b, differ))
+                if not everything and j < i:
+                    likely += np.bincount(a[near] - i, minlength=1024)
+                    enough = likely[x - i] >= limit
+                    stopped[x[enough]] = True
+                    x = x[~enough]
+    none = np.empty(0, np.int64)
+    x, y, differ = (np.concatenate(p) for p in zip((none, none, none.astype(np.int32)), *out, strict=True))
+    order = np.lexsort((y, differ, x))
+    x, y, differ = x[order], y[order], differ[order]
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else none
+    n = np.diff(np.concatenate([begin, [len(x)]]))
+    keep = np.arange(len(x)) - np.repeat(begin, n) < limit
+    return x[keep], y[keep], differ[keep], (np.repeat(n <= limit, n) & ~stopped[x])[keep]
+
+
+_MET = "kind int, token long, x_doc long, x_spot long, y_doc long, y_spot long, differ int, complete boolean"
+_POSTED = (np.uint32, np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint64)
+
+
+def _met(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names = [f.split(" ")[0] for f in _MET.split(", ")]
+    for i in range(0, len(columns[0]), 1 << 15):
+        part = [c[i : i + (1 << 15)] for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *(pa.array(c) for c in part)], names)
+
+
+def _paired(c: dict[str, np.ndarray], percent: int, limit: int | None) -> Iterator[pa.RecordBatch]:
+    x, y, differ, complete = _meet(c, percent, limit)
+    yield from _met(_PAIR, c["group"][x].astype(np.int64), c["doc"][x], c["spot"][x], c["doc"][y], c["spot"][y], differ, complete)
+
+
+def _reduced(percent: int, limit: int | None):
+    """What the packed rows of a partition say.
+
+    Lines that repeat an earlier one (``kind`` 0), pairs of lines of a prefix token (4), and prefix
+    tokens that are common (3: ``y_doc`` has the parity, ``y_spot`` size and place).
     """
 
-    def within(n_x, n_y, p_x, p_y, q_x, q_y):
-        behind = np.minimum(n_x - p_x, n_y - p_y)
-        differ = np.bitwise_count((q_x ^ q_y).view(np.uint64)).astype(np.int64)
-        ok = (100 * n_x >= percent * n_y) & (100 * n_y >= percent * n_x) & (behind * (100 + percent) >= percent * (n_x + n_y))
-        return ok & (differ * (100 + percent) <= (100 - percent) * (n_x + n_y)), differ
-
-    def matches(c: dict[str, np.ndarray], begin: int, end: int, out: list) -> None:
-        """One group of rows, by blocks of probes."""
-        g = {k: v[begin:end] for k, v in c.items()}
-        for i in range(0, end - begin, 512):
-            x = np.arange(i, min(i + 512, end - begin))
-            x = x[g["probe"][x]]
-            if not len(x) or not x[-1]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                blobs.setdefault(kind, []).append(data)
+        nothing = lambda n: (np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32), np.ones(n, dtype=bool))
+        for data in blobs.pop(_GONE, []):
+            doc, spot = _unpacked([data], np.int64, np.int64)
+            yield from _met(_GONE, np.zeros(len(doc), np.int64), doc, spot, *nothing(len(doc)))
+        if _CLASS in blobs:
+            s0, s1, doc, spot = _unpacked(blobs.pop(_CLASS), np.uint64, np.uint64, np.int64, np.int64)
+            order = np.lexsort((spot, doc, s1, s0))
+            again = order[1:][(s0[order[1:]] == s0[order[:-1]]) & (s1[order[1:]] == s1[order[:-1]])]
+            yield from _met(_GONE, np.zeros(len(again), np.int64), doc[again], spot[again], *nothing(len(again)))
+        for kind in (_COMMON, _POSTING):
+            if kind not in blobs:
                 continue
-            y = np.arange(x[-1])
-            a, b = x[:, None], y[None, :]
-            ok, differ = within(g["n"][a], g["n"][b], g["place"][a], g["place"][b], g["parity"][a], g["parity"][b])
-            ok &= (b < a) & ((g["side"][a] != g["side"][b]) | (g["side"][a] == 0))
-            r, k = np.nonzero(ok)
-            if len(r):
-                out.append((x[r] + begin, k + begin, differ[r, k]))
+            group, s0, doc, spot, n, place, parity = _unpacked(blobs.pop(kind), *_POSTED)
+            # of each class only its first line
+            order = np.lexsort((spot, doc, place & (_PROBE - 1), s0, group))
+            same = (group[order[1:]] == group[order[:-1]]) & (s0[order[1:]] == s0[order[:-1]]) & ((place[order[1:]] ^ place[order[:-1]]) & (_PROBE - 1) == 0)
+            order = order[np.concatenate([[True], ~same])]
+            if kind == _COMMON:
+                mark = place[order] >= _PROBE
+                yield from _met(_COMMON, group[order].astype(np.int64), doc[order], spot[order], parity[order].view(np.int64), n[order].astype(np.int64) << 32 | place[order] & (_PROBE - 1), np.zeros(len(order), np.int32), mark)
+                continue
+            # a token that one class has alone says nothing
+            g = group[order]
+            alone = np.concatenate([[True], g[1:] != g[:-1]]) & np.concatenate([g[1:] != g[:-1], [True]])
+            order = order[~alone]
+            order = order[np.lexsort((spot[order], doc[order], group[order]))]
+            if len(order):
+                place = place[order]
+                yield from _paired({"group": group[order], "doc": doc[order], "spot": spot[order], "n": n[order], "place": place & (_PROBE - 1), "parity": parity[order], "probe": place >= _PROBE}, percent, limit)
+
+    return run
+
+
+def _blocks(percent: int, limit: int | None):
+    """Pairs of lines of the common tokens, of rows sorted by token, block, document and spot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        names = ["group", "doc_id", "spot", "size", "parity"]
+        names = ["group", "doc", "spot", "size", "parity"]
+        carry = {k: np.empty(0, np.int64) for k in names}
 
         def work(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            packed = c.pop("size")
-            c |= {"n": packed >> 32, "place": packed >> 3 & (1 << 28) - 1, "side": packed >> 1 & 3, "probe": (packed & 1).astype(bool)}
-            new = np.flatnonzero(np.concatenate([[True], c["group"][1:] != c["group"][:-1]]))
-            size = np.diff(np.concatenate([new, [len(c["group"])]]))
-            out: list = []
-            # small groups together, by the distance of the rows
-            small = np.repeat(size <= 64, size)
-            rank = np.arange(len(small)) - np.repeat(new, size)
-            at = np.flatnonzero(small & (rank > 0) & c["probe"])
-            d = 1
-            while len(at):
-                y = at - d
-                ok, differ = within(c["n"][at], c["n"][y], c["place"][at], c["place"][y], c["parity"][at], c["parity"][y])
-                ok &= (c["side"][at] != c["side"][y]) | (c["side"][at] == 0)
-                out.append((at[ok], y[ok], differ[ok]))
-                d += 1
-                at = at[rank[at] >= d]
-            for begin, n in zip(new[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-                matches(c, begin, begin + n, out)
-            if not out:
-                return
-            x, y, differ = (np.concatenate(p) for p in zip(*out, strict=True))
-            if not len(x):
-                return
-            complete = np.ones(len(x), dtype=bool)
-            if not probes:
-                order = np.lexsort((y, differ, x))
-                x, y = x[order], y[order]
-                first = np.concatenate([[True], x[1:] != x[:-1]])
-                begin = np.flatnonzero(first)
-                n = np.diff(np.concatenate([begin, [len(x)]]))
-                keep = np.arange(len(x)) - np.repeat(begin, n) < PARTNERS
-                complete = np.repeat(n <= PARTNERS, n)[keep]
-                x, y = x[keep], y[keep]
-            for i in range(0, len(x), 1 << 15):
-                a, b = x[i : i + (1 << 15)], y[i : i + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["doc_id"][a], c["spot"][a], c["doc_id"][b], c["spot"][b], c["n"][a].astype(np.int32), c["n"][b].astype(np.int32), complete[i : i + (1 << 15)])], [f.split(" ")[0] for f in _PAIRS.split(", ")])
+            if len(c["group"]):
+                packed = c.pop("size")
+                token = {"group": c["group"], "n": (packed >> 32).astype(np.int32), "place": (packed >> 3 & (1 << 28) - 1).astype(np.int32), "side": packed >> 1 & 3, "probe": (packed & 1).astype(bool), "parity": c["parity"].view(np.uint64)}
+                x, y, differ, complete = _meet(token, percent, limit)
+                yield from _met(_PAIR, c["group"][x] >> 32 & 0xFFFFFFFF, c["doc"][x], c["spot"][x], c["doc"][y], c["spot"][y], differ, complete)
 
         for batch in batches:
-            c = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
-            if not len(c["group"]):
+            if not batch.num_rows:
                 continue
-            if carry is not None:
-                c = {k: np.concatenate([carry[k], c[k]]) for k in names}
+            c = {k: np.concatenate([carry[k], batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(names)}
             cut = int(np.searchsorted(c["group"], c["group"][-1]))
             carry = {k: v[cut:] for k, v in c.items()}
-            if cut:
-                yield from work({k: v[:cut] for k, v in c.items()})
-        if carry is not None:
-            yield from work(carry)
+            yield from work({k: v[:cut] for k, v in c.items()})
+        yield from work(carry)
 
     return run
 
 
-def _postings(classes: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    one = F.explode(F.arrays_zip("tokens", "places"))
-    rows = classes.select("doc_id", "spot", "n", "parity", "probe", one.alias("t"))
-    rows = rows.select("doc_id", "spot", "n", "parity", "probe", F.col("t.tokens").alias("token"), F.col("t.places").bitwiseAND(F.lit(_HOT - 1)).alias("place"), (F.col("t.places") >= _HOT).alias("common"))
-    if only is not None:
-        rows = rows.join(only, "token", "left_semi")
-    # tokens in very many prefixes; those that are rare in the corpus needn't be counted
-    many = written(rows.filter("common").groupBy("token").agg(F.count("*").alias("lines")).filter(F.col("lines") > BLOCK), "ld-common")
-    rows = rows.join(many.select("token", F.ceil(F.col("lines") / BLOCK).cast("int").alias("blocks")), "token", "left")
-    own = F.pmod(F.xxhash64("doc_id", "spot"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", F.coalesce(own, F.lit(0)))
+def _of_common(met: DataFrame, percent: int, limit: int | None) -> DataFrame | None:
+    """Pairs of lines of the common tokens, each dealt out as pairs of blocks by its exact number of lines."""
+    rows = met.filter(f"kind = {_COMMON}")
+    if rows.isEmpty():
+        return None
+    many = written(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ld-common")
+    rows = rows.join(many, "token").withColumn("own", F.pmod(F.xxhash64("x_doc", "x_spot"), F.col("blocks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least("own", k) * F.col("blocks") + F.greatest("own", k)).alias("block"), F.when(k == F.col("own"), 0).when(k > F.col("own"), 1).otherwise(2).alias("side")))
-    alone = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("side")))
-    rows = rows.withColumn("b", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(both)))
-    # few wide fields: a row of the shuffle pads each to 8 bytes
-    group = F.shiftleft(F.col("token").cast("long"), 32) + F.col("b.block")
-    size = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.least("place", F.lit((1 << 28) - 1)).cast("long"), 3) + F.col("b.side") * 2 + F.col("probe").cast("int")
-    rows = rows.select(group.alias("group"), "doc_id", "spot", size.alias("size"), "parity")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "group").sortWithinPartitions("group", "doc_id", "spot")
+    rows = rows.withColumn("b", F.explode(both))
+    group = F.shiftleft(F.col("token"), 32) + F.col("b.block")
+    size = F.col("y_spot").bitwiseAND(F.lit(-1 << 32)) + F.shiftleft(F.least(F.col("y_spot").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit((1 << 28) - 1)), 3) + F.col("b.side") * 2 + F.col("complete").cast("int")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(group.alias("group"), "x_doc", "x_spot", size.alias("size"), F.col("y_doc").alias("parity"))
+    pairs = written(rows.repartition(n, "group").sortWithinPartitions("group", "x_doc", "x_spot").mapInArrow(_blocks(percent, limit), _MET), "ld-pairs")
+    forget(many)
+    return pairs
 
 
 def _wanted(bits_of):
@@ -263,8 +440,9 @@ def _wanted(bits_of):
                     spots.append(int(spot[m]))
             for i, j in slices(parts):
                 doc, _, first, last, tokens = _token_sets(parts[i:j], flat)
-                d = doc + i
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(at)[d]]), pa.array(np.array(spots)[d]), pa.ListArray.from_arrays(pa.array(np.concatenate([first, last[-1:]]).astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc_id", "spot", "tokens"])
+                if len(doc):
+                    d = doc + i
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(at)[d]]), pa.array(np.array(spots)[d]), pa.ListArray.from_arrays(pa.array(np.concatenate([first, last[-1:]]).astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc_id", "spot", "tokens"])
 
     return run
 
@@ -274,36 +452,57 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     asked = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).unionByName(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_spot").alias("spot")))
     maps = bitmap(asked.select(F.xxhash64("doc_id").alias("k")), "k"), bitmap(asked.select(F.xxhash64("doc_id", "spot").alias("k")), "k")
     bits = docs.sparkSession.sparkContext.broadcast(maps)
-    # a repeated row gives the same sets again
-    sets = docs.mapInArrow(_wanted(bits), "doc_id long, spot long, tokens array<bigint>")
-    sets = written(sets.dropDuplicates(["doc_id", "spot"]), "ld-sets")
+    # a repeated row gives the same sets, and the same pairs, again
+    sets = written(docs.mapInArrow(_wanted(bits), "doc_id long, spot long, tokens array<bigint>"), "ld-sets")
     side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("spot").alias(f"{s}_spot"), F.col("tokens").alias(f"{s}_tokens"))
     full = pairs.join(side("y"), ["y_doc", "y_spot"]).join(side("x"), ["x_doc", "x_spot"])
-    found = full.select("x_doc", "x_spot", "x_n", "y_n", F.size(F.array_intersect("x_tokens", "y_tokens")).alias("common")).filter(f"100 * common >= {percent} * (x_n + y_n - common)")
-    return found.select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).distinct()
+    found = full.select("x_doc", "x_spot", (F.size("x_tokens") + F.size("y_tokens")).alias("both"), F.size(F.array_intersect("x_tokens", "y_tokens")).alias("common")).filter(f"100 * common >= {percent} * (both - common)")
+    found = written(found.select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).distinct(), "ld-found")
+    bits.unpersist()
+    forget(sets)
+    return found
 
 
 def later_matches(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """``doc_id, tie, line`` of each line that an earlier one matches; ``docs``: ``doc_id, text``."""
     docs = docs.filter("doc_id is not null and text is not null")
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs).tobytes())
-    lines = written(docs.mapInArrow(_lines(levels, percent, least), _LINES), "ld-lines")
-    first = lines.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "spot", "n", "parity", "tokens", "places")).alias("f"), F.count("*").alias("copies"))
-    classes = written(first.select("s0", "s1", "f.*", "copies", F.lit(True).alias("probe")), "ld-classes")
-    pairs = written(_postings(classes).mapInArrow(_candidates(percent, False), _PAIRS).groupBy("x_doc", "x_spot", "y_doc", "y_spot").agg(F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"), F.min("complete").alias("complete")), "ld-pairs")
-    found = written(_verified(pairs, docs, percent), "ld-found")
-    rest = pairs.filter("not complete").select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).distinct()
-    rest = written(rest.join(found, ["doc_id", "spot"], "left_anti").withColumn("probe", F.lit(True)), "ld-rest")
-    if not rest.isEmpty():
-        again = written(classes.drop("probe").join(rest, ["doc_id", "spot"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "ld-again")
-        # only tokens that a probe has
-        asked = written(again.filter("probe").select(F.explode("tokens").alias("token")).distinct(), "ld-asked")
-        more = written(_postings(again, asked).mapInArrow(_candidates(percent, True), _PAIRS).drop("complete").distinct(), "ld-more")
-        found = found.unionByName(written(_verified(more, docs, percent), "ld-found"))
-    gone = classes.join(found.withColumn("gone", F.lit(True)), ["doc_id", "spot"], "left").filter("copies > 1 or gone")
-    gone = written(gone.select("s0", "s1", F.col("doc_id").alias("f_doc"), F.col("spot").alias("f_spot"), F.coalesce("gone", F.lit(False)).alias("gone")), "ld-gone")
-    removed = lines.select("doc_id", "spot", "s0", "s1").join(gone, ["s0", "s1"]).filter("gone or doc_id <> f_doc or spot <> f_spot")
-    return removed.select("doc_id", F.col("spot").bitwiseAND(F.lit(_TIE)).alias("tie"), F.shiftright("spot", 24).cast("int").alias("line"))
+    context, conf = docs.sparkSession.sparkContext, docs.sparkSession.conf
+    levels, n_words = _levels(docs)
+    n = max(int(conf.get("spark.sql.shuffle.partitions")), -(-n_words // WORDS_EACH))
+
+    def join(second: bool, *maps: bytes) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        shared, limit = context.broadcast((levels.tobytes(), *maps)), None if second else PARTNERS
+        packed = docs.mapInArrow(_scan(shared, percent, least, n, second), "bucket int, kind int, data binary")
+        met = written(packed.repartitionById(n, "bucket").mapInArrow(_reduced(percent, limit), _MET), "ld-met")
+        shared.unpersist()
+        common, pairs = _of_common(met, percent, limit), met.filter(f"kind = {_PAIR}")
+        return met, common, pairs if common is None else pairs.unionByName(common)
+
+    met, common, pairs = join(False)
+    line = ["x_doc", "x_spot"]
+    # the likeliest candidate of each line alone; all others only of the lines that it doesn't match
+    best = written(pairs.groupBy(*line).agg(F.min(F.struct("differ", "y_doc", "y_spot")).alias("y")).select(*line, "y.y_doc", "y.y_spot"), "ld-best")
+    tables = [met, common, best, _verified(best, docs, percent)]
+    named = lambda found: found.select(F.col("doc_id").alias("x_doc"), F.col("spot").alias("x_spot"))
+    found = tables[-1]
+    others = written(pairs.join(named(found), line, "left_anti").groupBy(*line, "y_doc", "y_spot").agg(F.min("complete").alias("complete"), F.collect_set(F.when(~F.col("complete"), F.col("token"))).alias("tokens")), "ld-others")
+    tables.append(others)
+    if not others.isEmpty():
+        more = written(others.join(best, [*line, "y_doc", "y_spot"], "left_anti").select(*line, "y_doc", "y_spot"), "ld-more")
+        tables += [more, _verified(more, docs, percent)]
+        found = found.unionByName(tables[-1])
+        rest = written(others.filter("not complete").join(named(tables[-1]), line, "left_anti").select(*line, "tokens"), "ld-rest")
+        tables.append(rest)
+        if not rest.isEmpty():
+            maps = bitmap(rest.select(F.explode("tokens").alias("k")), "k"), bitmap(rest.select(F.xxhash64(*line).alias("k")), "k")
+            met2, common2, again = join(True, *maps)
+            again = written(again.select(*line, "y_doc", "y_spot").distinct().join(others, [*line, "y_doc", "y_spot"], "left_anti"), "ld-again")
+            tables += [met2, common2, again, _verified(again, docs, percent)]
+            found = found.unionByName(tables[-1])
+    gone = met.filter(f"kind = {_GONE}").select(F.col("x_doc").alias("doc_id"), F.col("x_spot").alias("spot")).unionByName(found).distinct()
+    out = written(gone.select("doc_id", F.col("spot").bitwiseAND(F.lit(_TIE)).alias("tie"), F.shiftright("spot", 24).cast("int").alias("line")), "ld-gone")
+    forget(*tables)
+    return out
 
 
 def _cut(text: str, gone) -> str:

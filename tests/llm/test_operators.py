@@ -264,8 +264,14 @@ def test_lines(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
-def test_short_lines(spark):
-    """The values of the registered query: copies of short lines go as well, near copies from 4 words up."""
+@pytest.mark.parametrize("common, block, partners, held", [(160, 1 << 14, 8, 1 << 17), (8, 3, 1, 20), (16, 40, 2, 70)])
+def test_short_lines(spark, common, block, partners, held, monkeypatch):
+    """The values of the registered query: copies of short lines go as well, near copies from 4 words up.
+
+    Also with common tokens dealt out as blocks, a second pass, and classes that meet only after the scan.
+    """
+    for name, value in (("COMMON_LEVEL", common), ("BLOCK", block), ("PARTNERS", partners), ("HELD", held)):
+        monkeypatch.setattr(linededup, name, value)
     q = random.Random(8)
     some = lambda: " ".join(q.choice("abcdefg") for _ in range(q.randint(0, 7)))
     texts = ["\n".join([some(), "Page 1", "Home", some()]) for _ in range(60)] + ["one two three four", "one two three four five", "one two three", "x\n\n \nX\nHOME"]
