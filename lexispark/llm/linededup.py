@@ -5,7 +5,7 @@ token hash; tokens that share a place there are ordered by their hash, so that t
 everywhere and the filters stay exact. Two lines whose Jaccard similarity reaches the threshold share a
 token in the prefixes of that order (prefix filter), at places that leave enough tokens behind
 (positional filter), and have lengths within the threshold (length filter). Each line also has 64 bits
-of token parity: two lines differ in at least as many tokens as in bits. What passes is verified on all
+of token parity, and long ones up to 512, which fold to fewer: two lines differ in at least as many tokens as in bits. What passes is verified on all
 tokens. Lines of equal token sets are one class, which its first line stands for; where one word more or
 less is below the threshold already (up to 3 words at 80 %), only the class can match, and it has no prefix.
 
@@ -39,12 +39,15 @@ BLOCK = 1 << 14
 #: Tokens from this level on, 2^20 occurrences, are common.
 COMMON_LEVEL = 8 * 20
 #: Lines of a task that are put together before they are packed.
-HELD = 1 << 17
+HELD = 1 << 16
+#: Lines of more distinct words than these have 2, 4 and 8 words of parity.
+WIDE = (80, 200, 440)
 #: Words of the corpus for one partition of prefix tokens, of which a line has a fifth of its words at most.
 WORDS_EACH = 5_000_000
 _TIE = (1 << 24) - 1
 _PROBE = 1 << 30
-_GONE, _CLASS, _POSTING, _COMMON, _PAIR = range(5)
+#: Kinds of rows; prefix tokens have one more for each level of parity.
+_GONE, _CLASS, _COMMON, _PAIR, _POSTING = range(5)
 
 
 def _tie(texts: list[str | None]) -> np.ndarray:
@@ -130,7 +133,7 @@ def _token_sets(texts: list[str | None], levels: np.ndarray, asked=None) -> tupl
     level = levels[_place(h)].astype(np.uint64)
     if len(new) < 1 << 16:
         # ties in 40 bits of the hash are put right below, where they matter
-        order = np.argsort(group.astype(np.uint64) << np.uint64(48) | level << np.uint64(40) | h >> np.uint64(24), kind="stable")
+        order = np.argsort(group.astype(np.uint64) << np.uint64(48) | level << np.uint64(40) | h >> np.uint64(24))
         t, g = h[order], group[order]
         if np.any((t[1:] != t[:-1]) & (t[1:] >> np.uint64(24) == t[:-1] >> np.uint64(24)) & (g[1:] == g[:-1])):
             order = np.lexsort((h, level, group))
@@ -143,6 +146,40 @@ def _token_sets(texts: list[str | None], levels: np.ndarray, asked=None) -> tupl
     return doc[new], line[new], first, np.concatenate([first[1:], [len(h)]]), h
 
 
+def _wide_parity(n: np.ndarray, first: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level of each line, and for the long ones all words of parity but the first."""
+    level = np.searchsorted(np.array(WIDE), n).astype(np.int8)
+    out = np.zeros((len(n), (1 << len(WIDE)) - 1), np.uint64)
+    for k in range(1, len(WIDE) + 1):
+        of = np.flatnonzero(level == k)
+        if len(of):
+            size = n[of]
+            begin = np.cumsum(size) - size
+            t = tokens[np.repeat(first[of] - begin, size) + np.arange(size.sum())]
+            bit, word = np.uint64(1) << (t & np.uint64(63)), (t >> np.uint64(6)) & np.uint64((1 << k) - 1)
+            for w in range(1, 1 << k):
+                out[of, w - 1] = np.bitwise_xor.reduceat(np.where(word == np.uint64(w), bit, np.uint64(0)), begin)
+    return level, out
+
+
+def _folded(level: np.ndarray, parity: np.ndarray, wide: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level the row of each line among those that reach it, and the words of these."""
+    top = len(WIDE)
+    out: list = [None] * (top + 1)
+    for k in range(top, 0, -1):
+        own = np.flatnonzero(level == k)
+        rest = wide[own, : (1 << k) - 1]
+        words_ = np.concatenate([(parity[own] ^ np.bitwise_xor.reduce(rest, axis=1))[:, None], rest], axis=1)
+        if k < top:
+            above, w = out[k + 1]
+            at = np.flatnonzero(above >= 0)
+            own, words_ = np.concatenate([own, at]), np.concatenate([words_, (w[:, : 1 << k] ^ w[:, 1 << k :])[above[at]]])
+        place = np.full(len(level), -1, np.int64)
+        place[own] = np.arange(len(own))
+        out[k] = (place, words_)
+    return out
+
+
 def _by_bucket(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
     """Rows of one kind, packed for each bucket; within one they keep their order."""
     if not len(bucket):
@@ -175,7 +212,7 @@ def _scan(shared, percent: int, least: int, n_buckets: int, second: bool):
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal turn
-            s0, s1, doc, spot, n, parity = (np.concatenate(c) for c in zip(*held, strict=True))
+            s0, s1, doc, spot, n, parity, level, wide = (np.concatenate(c) for c in zip(*held, strict=True))
             token, place, at = (np.concatenate(c) for c in zip(*posted_of, strict=True))
             held.clear()
             posted_of.clear()
@@ -194,11 +231,12 @@ def _scan(shared, percent: int, least: int, n_buckets: int, second: bool):
             token, place, at = token[mine], place[mine], at[mine]
             group = (token >> np.uint64(32)).astype(np.uint32)
             common = levels[_place(token)] >= common_level
-            for kind, rows in ((_POSTING, np.flatnonzero(~common)), (_COMMON, np.flatnonzero(common))):
+            for kind, rows in ((_COMMON, np.flatnonzero(common)), *((_POSTING + w, np.flatnonzero(~common & (level[at] == w))) for w in range(len(WIDE) + 1))):
                 rows = rows[np.argsort(group[rows], kind="stable")]
                 k = at[rows]
-                bucket = group[rows] % np.uint32(n_buckets) if kind == _POSTING else s0[k] % np.uint64(n_buckets)
-                out += _by_bucket(kind, bucket.astype(np.int32), [group[rows], s0[k], doc[k], spot[k], n[k], place[rows], parity[k]])
+                bucket = s0[k] % np.uint64(n_buckets) if kind == _COMMON else group[rows] % np.uint32(n_buckets)
+                more = [] if kind == _COMMON else [wide[k, w] for w in range((1 << kind - _POSTING) - 1)]
+                out += _by_bucket(kind, bucket.astype(np.int32), [group[rows], s0[k], doc[k], spot[k], n[k], place[rows], parity[k], *more])
             for i in range(0, len(out), 64):
                 b, k, data = zip(*out[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
@@ -228,7 +266,7 @@ def _scan(shared, percent: int, least: int, n_buckets: int, second: bool):
                 d = doc[kept] + i
                 id_, spot = ids[d].astype(np.int64), line[kept] << 24 | ties[d]
                 mark = in_bitmap(probes, xxhash64(id_, spot)) if second else np.ones(len(d), dtype=bool)
-                held.append((s0, s1, id_, spot, n[kept].astype(np.int32), parity))
+                held.append((s0, s1, id_, spot, n[kept].astype(np.int32), parity, *_wide_parity(n[kept], first[kept], tokens)))
                 posted_of.append((token, np.minimum(at, _PROBE - 1).astype(np.int32) | np.where(mark[number[of]], _PROBE, 0).astype(np.int32), size + number[of]))
                 size += len(d)
                 if size >= most:
@@ -243,11 +281,20 @@ def _scan(shared, percent: int, least: int, n_buckets: int, second: bool):
 def _within(percent: int, c: dict[str, np.ndarray]):
     """Which pairs of rows the filters leave, and in how many bits they differ; the cheap test comes first."""
     n, parity, place = c["n"], c["parity"], c["place"]
+    folded = _folded(c["level"], parity, c["wide"])[1:] if "level" in c else []
 
     def test(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         differ = np.bitwise_count(parity[x] ^ parity[y])
         ok = np.flatnonzero(differ.astype(np.int32) * np.int32(100 + percent) <= np.int32(100 - percent) * (n[x] + n[y]))
         x, y, differ = x[ok], y[ok], differ[ok].astype(np.int32)
+        for place_of, words_ in folded:
+            a, b = place_of[x], place_of[y]
+            both = np.flatnonzero((a >= 0) & (b >= 0))
+            if not len(both):
+                break
+            differ[both] = np.bitwise_count(words_[a[both]] ^ words_[b[both]]).sum(1, dtype=np.int32)
+            ok = np.flatnonzero(differ * np.int32(100 + percent) <= np.int32(100 - percent) * (n[x] + n[y]))
+            x, y, differ = x[ok], y[ok], differ[ok]
         behind = np.minimum(n[x] - place[x], n[y] - place[y]).astype(np.int64)
         both = n[x].astype(np.int64) + n[y]
         ok = (100 * n[x].astype(np.int64) >= percent * n[y].astype(np.int64)) & (100 * n[y].astype(np.int64) >= percent * n[x].astype(np.int64)) & (behind * (100 + percent) >= percent * both)
@@ -332,8 +379,8 @@ def _paired(c: dict[str, np.ndarray], percent: int, limit: int | None) -> Iterat
 def _reduced(percent: int, limit: int | None):
     """What the packed rows of a partition say.
 
-    Lines that repeat an earlier one (``kind`` 0), pairs of lines of a prefix token (4), and prefix
-    tokens that are common (3: ``y_doc`` has the parity, ``y_spot`` size and place).
+    Lines that repeat an earlier one (``_GONE``), pairs of lines of a prefix token (``_PAIR``), and prefix
+    tokens that are common (``_COMMON``: ``y_doc`` has the parity, ``y_spot`` size and place).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,26 +397,45 @@ def _reduced(percent: int, limit: int | None):
             order = np.lexsort((spot, doc, s1, s0))
             again = order[1:][(s0[order[1:]] == s0[order[:-1]]) & (s1[order[1:]] == s1[order[:-1]])]
             yield from _met(_GONE, np.zeros(len(again), np.int64), doc[again], spot[again], *nothing(len(again)))
-        for kind in (_COMMON, _POSTING):
-            if kind not in blobs:
-                continue
-            group, s0, doc, spot, n, place, parity = _unpacked(blobs.pop(kind), *_POSTED)
-            # of each class only its first line
-            order = np.lexsort((spot, doc, place & (_PROBE - 1), s0, group))
-            same = (group[order[1:]] == group[order[:-1]]) & (s0[order[1:]] == s0[order[:-1]]) & ((place[order[1:]] ^ place[order[:-1]]) & (_PROBE - 1) == 0)
-            order = order[np.concatenate([[True], ~same])]
-            if kind == _COMMON:
-                mark = place[order] >= _PROBE
-                yield from _met(_COMMON, group[order].astype(np.int64), doc[order], spot[order], parity[order].view(np.int64), n[order].astype(np.int64) << 32 | place[order] & (_PROBE - 1), np.zeros(len(order), np.int32), mark)
-                continue
-            # a token that one class has alone says nothing
-            g = group[order]
-            alone = np.concatenate([[True], g[1:] != g[:-1]]) & np.concatenate([g[1:] != g[:-1], [True]])
-            order = order[~alone]
-            order = order[np.lexsort((spot[order], doc[order], group[order]))]
-            if len(order):
-                place = place[order]
-                yield from _paired({"group": group[order], "doc": doc[order], "spot": spot[order], "n": n[order], "place": place & (_PROBE - 1), "parity": parity[order], "probe": place >= _PROBE}, percent, limit)
+        def firsts(group, s0, doc, spot, place):
+            """Of each class only its first line."""
+            key = group.astype(np.uint64) << np.uint64(32) | s0 >> np.uint64(32)
+            order = np.argsort(key)
+            same = key[order[1:]] == key[order[:-1]]
+            if not same.any():
+                return order
+            again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            some = order[again]
+            some = some[np.lexsort((spot[some], doc[some], place[some] & (_PROBE - 1), s0[some], group[some]))]
+            equal = (group[some[1:]] == group[some[:-1]]) & (s0[some[1:]] == s0[some[:-1]]) & ((place[some[1:]] ^ place[some[:-1]]) & (_PROBE - 1) == 0)
+            return np.concatenate([order[~again], some[np.concatenate([[True], ~equal])]])
+
+        if _COMMON in blobs:
+            group, s0, doc, spot, n, place, parity = _unpacked(blobs.pop(_COMMON), *_POSTED)
+            order = firsts(group, s0, doc, spot, place)
+            yield from _met(_COMMON, group[order].astype(np.int64), doc[order], spot[order], parity[order].view(np.int64), n[order].astype(np.int64) << 32 | place[order] & (_PROBE - 1), np.zeros(len(order), np.int32), place[order] >= _PROBE)
+        parts = []
+        for w in range(len(WIDE) + 1):
+            more = (1 << w) - 1
+            own = _unpacked(blobs.pop(_POSTING + w, []), *_POSTED, *(np.uint64,) * more)
+            wide = np.zeros((len(own[0]), (1 << len(WIDE)) - 1), np.uint64)
+            for k in range(more):
+                wide[:, k] = own[len(_POSTED) + k]
+            parts.append((*own[: len(_POSTED)], np.full(len(own[0]), w, np.int8), wide))
+        group, s0, doc, spot, n, place, parity, level, wide = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = firsts(group, s0, doc, spot, place)
+        # a token that one class has alone says nothing
+        g = np.sort(group[order])
+        several = np.unique(g[1:][g[1:] == g[:-1]])
+        if len(several):
+            at = np.minimum(np.searchsorted(several, group[order]), len(several) - 1)
+            order = order[several[at] == group[order]]
+        else:
+            order = order[:0]
+        order = order[np.lexsort((spot[order], doc[order], group[order]))]
+        if len(order):
+            place = place[order]
+            yield from _paired({"group": group[order], "doc": doc[order], "spot": spot[order], "n": n[order], "place": place & (_PROBE - 1), "parity": parity[order], "level": level[order], "wide": wide[order], "probe": place >= _PROBE}, percent, limit)
 
     return run
 
@@ -561,8 +627,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    removed = later_matches(plain, percent, least).groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone"))
-    removed = written(removed, "ld-removed")
+    lines = later_matches(plain, percent, least)
+    removed = written(lines.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone")), "ld-removed")
+    forget(lines)
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(removed.select(F.xxhash64("doc_id").alias("k")), "k"))
     names = docs.columns
     text = names.index(text_col)
@@ -574,7 +641,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [*inner, "__doc"]
     same = rows.mapInArrow(_untouched(bits, len(names), text, columns, False), ", ".join([*others, "__doc long", "__out string", "__lines long", "__removed long"]))
     packed = rows.mapInArrow(_untouched(bits, len(names), text, columns, True), ", ".join([*others, "__doc long", "__text binary", "__tie long"]))
-    joined = packed.join(removed.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t"), "gone"), (F.col("__doc") == F.col("__id")) & (F.col("__tie") == F.col("__t")), "left")
+    # both sides grow with the corpus, so neither is ever broadcast
+    joined = packed.join(removed.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t"), "gone").hint("merge"), (F.col("__doc") == F.col("__id")) & (F.col("__tie") == F.col("__t")), "left")
     kept = [i for k, i in enumerate(inner) if k != text]
     out = joined.select(*kept, "__text", "gone").mapInArrow(_without(len(kept), [*kept, "__out", "__lines", "__removed"]), ", ".join([*others, "__out string", "__lines long", "__removed long"]))
     out = out.unionByName(same.drop("__doc"))

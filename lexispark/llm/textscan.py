@@ -55,9 +55,11 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     product *= up[: len(a)]
     h = mix(np.add.reduceat(product, starts) * down[starts])
     begins = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
-    doc = np.searchsorted(begins, starts, side="right") - 1
+    # borders are few and words many: look up the borders
+    counted = lambda borders: np.diff(np.concatenate([[0], np.searchsorted(starts, borders), [len(starts)]]))
+    doc = np.repeat(np.arange(len(parts)), counted(begins[1:]))
     feeds = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
-    line = np.searchsorted(feeds, starts) - np.searchsorted(feeds, begins)[doc]
+    line = np.repeat(np.arange(len(feeds) + 1), counted(feeds)) - np.searchsorted(feeds, begins)[doc]
     return h, doc, line
 
 
