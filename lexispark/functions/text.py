@@ -39,14 +39,18 @@ _marked = "".join(f for b, forms in TONES.items() for f in forms if f != BARE.ge
 _plain = "".join(BARE.get(b, b) for b, forms in TONES.items() for f in forms if f != BARE.get(b, b)) + "d"
 
 
+#: Ranges of code points that NFC neither changes nor joins to the one before.
+STABLE = "\\x{0}-\\x{2ff}\\x{400}-\\x{482}\\x{1e00}-\\x{1eff}\\x{2010}-\\x{2027}\\x{2030}-\\x{205e}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7a3}"
+
+
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    return texts if texts.isna().all() else texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
 def nfc(text: Column) -> Column:
-    """NFC; nothing that is ASCII leaves the JVM's fast path unchanged."""
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(_nfc(text))
+    """NFC. Python gets a null for each text that is stable as it is; a branch alone wouldn't keep it from the others."""
+    return F.coalesce(_nfc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
 
 
 def lookup_key(text: Column) -> Column:

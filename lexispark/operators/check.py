@@ -12,8 +12,8 @@ from .candidates import candidates, top_candidates
 from .lexicon import Lexicon
 from .lm import contexts, scored
 from .phonology import syllables
-from .rules import RuleOptions, check_rules
-from .tokens import tokens
+from .rules import RuleOptions, tokens_and_findings
+from .tokens import checkable, tokens
 
 #: Both neighbours' bigrams at this count: the word is taken as right.
 SEEN_ENOUGH = 30
@@ -36,7 +36,7 @@ def classify(words: DataFrame, lex: Lexicon, unattested: bool = False) -> DataFr
     spark = words.sparkSession
     valid = syllables(spark).select(F.col("syllable").alias("norm"), F.lit(True).alias("valid"))
     known = lex.attested.select(F.col("syllable").alias("norm"), F.lit(True).alias("known"))
-    rows = words.filter("kind = 'Word' and protect is null").join(valid, "norm", "left").join(known, "norm", "left")
+    rows = checkable(words).join(valid, "norm", "left").join(known, "norm", "left")
     # the distinct words decide; documents join their results
     distinct = written(rows.select("norm", "valid", "known").distinct(), "check-words")
     bad = distinct.filter("valid is null" + (" or known is null" if unattested else ""))
@@ -47,7 +47,7 @@ def classify(words: DataFrame, lex: Lexicon, unattested: bool = False) -> DataFr
     bad = bad.filter("valid or size(options) > 0 or length(norm) <> octet_length(norm)").select("norm", "valid", "options")
     rows = rows.drop("valid", "known").join(bad, "norm")
     kind = F.when(F.col("valid"), "UnattestedSyllable").otherwise("InvalidSyllable")
-    return rows.select("doc_id", "start_byte", "end_byte", kind.alias("kind"), F.col("raw").alias("found"), "options", F.when(F.col("valid"), "Likely").otherwise("Certain").alias("confidence"), F.lit(1).alias("layer"), "pos")
+    return rows.select("doc_id", "start_byte", "end_byte", kind.alias("kind"), F.col("norm").alias("found"), "options", F.when(F.col("valid"), "Likely").otherwise("Certain").alias("confidence"), F.lit(1).alias("layer"), "pos")
 
 
 def _windows(words: DataFrame) -> DataFrame:
@@ -93,14 +93,14 @@ def real_words(words: DataFrame, lex: Lexicon, options: CheckOptions = CheckOpti
     best = better.groupBy(*_FIVE).agg(F.max_by("text", F.struct("surplus", -F.col("rank"))).alias("text"))
     best = best.select(*[F.col(c).alias(f"k_{c}") for c in _FIVE], "text")
     rows = places.join(best, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in _FIVE])
-    return rows.select("doc_id", "start_byte", "end_byte", F.lit("RealWord").alias("kind"), F.col("raw").alias("found"), F.array("text").alias("options"), F.lit("Likely").alias("confidence"), F.lit(2).alias("layer"), "pos")
+    return rows.select("doc_id", "start_byte", "end_byte", F.lit("RealWord").alias("kind"), F.col("norm").alias("found"), F.array("text").alias("options"), F.lit("Likely").alias("confidence"), F.lit(2).alias("layer"), "pos")
 
 
 def check(docs: DataFrame, lex: Lexicon, options: CheckOptions = CheckOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All findings of all texts; order by ``doc_id, start_byte, layer`` to read them."""
-    words = written(tokens(docs, id_col, text_col), "check-tokens")
-    marks = check_rules(docs, options.rules, id_col, text_col)
-    marks = marks.select("doc_id", "start_byte", "end_byte", F.when(F.col("rule") == "capital", "Capitalization").otherwise("Punctuation").alias("kind"), "found", F.array("fix").alias("options"), "confidence", F.lit(0).alias("layer"))
+    rows = written(tokens_and_findings(docs, options.rules, id_col, text_col), "check-tokens")
+    words, marks = rows.filter("kind is not null"), rows.filter("rule is not null")
+    marks = marks.select("doc_id", "start_byte", "end_byte", F.when(F.col("rule") == "capital", "Capitalization").otherwise("Punctuation").alias("kind"), F.col("raw").alias("found"), F.array("fix").alias("options"), "confidence", F.lit(0).alias("layer"))
     flagged = classify(words, lex, options.unattested)
     out = marks.unionByName(flagged.select(*_OUT))
     if options.real_word:
@@ -108,6 +108,29 @@ def check(docs: DataFrame, lex: Lexicon, options: CheckOptions = CheckOptions(),
     return out
 
 
+def recheck(phrases: DataFrame, lex: Lexicon, options: CheckOptions = CheckOptions(), personal: DataFrame | None = None) -> DataFrame:
+    """``phrase, back, word, replacement, certain``: of the last two words of each distinct phrase (words joined by
+    single spaces) the newest that has a finding with a candidate; ``back`` counts from the end.
+
+    Findings of punctuation and case don't count, nor words of the ``personal`` dictionary (``word``).
+    """
+    # numbered, as documents of the check need an id
+    rows = written(phrases.select("phrase").filter("phrase <> ''").distinct().select(F.monotonically_increasing_id().alias("doc_id"), F.col("phrase").alias("text")), "phrases")
+    found = check(rows, lex, options).filter("kind not in ('Punctuation', 'Capitalization') and size(options) > 0")
+    found = found.groupBy("doc_id", "start_byte").agg(F.min(F.struct("layer", F.element_at("options", 1).alias("replacement"), (F.col("confidence") == "Certain").alias("certain"))).alias("f"))
+    words = F.split("text", " ")
+    ends = F.octet_length("text")
+    last = F.element_at(words, -1)
+    before = F.when(F.size(words) > 1, F.element_at(words, -2))
+    start = ends - F.octet_length(last)
+    both = F.array(F.struct(F.lit(0).alias("back"), last.alias("word"), start.alias("start_byte")), F.struct(F.lit(1).alias("back"), before.alias("word"), (start - 1 - F.octet_length(before)).alias("start_byte")))
+    tried = rows.select("doc_id", F.col("text").alias("phrase"), F.inline(both)).filter("word is not null")
+    if personal is not None:
+        tried = tried.withColumn("__w", F.lower("word")).join(personal.select(F.lower("word").alias("__w")).distinct(), "__w", "left_anti").drop("__w")
+    hit = tried.join(found, ["doc_id", "start_byte"]).groupBy("phrase").agg(F.min(F.struct("back", "word", F.col("f.replacement").alias("replacement"), F.col("f.certain").alias("certain"))).alias("h"))
+    return hit.select("phrase", "h.*")
+
+
 def explain(docs: DataFrame, lex: Lexicon, most: int = 4) -> DataFrame:
     """``doc_id, pos, word, base, text, reason, gain, place``: the candidates with the largest gain, without a threshold."""
     places = _windows(tokens(docs).filter("kind = 'Word'")).withColumn("x", F.col("norm"))

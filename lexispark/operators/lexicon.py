@@ -11,10 +11,10 @@ from ..session import written
 
 
 def unigrams(lines: DataFrame) -> DataFrame:
-    """``token, count, spread``: occurrences, and lines with the token, in one shuffle."""
-    spread = lines.select(F.explode(F.array_distinct("words")).alias("token"), F.lit(0).alias("c"), F.lit(1).alias("s"))
-    every = lines.select(F.explode("words").alias("token"), F.lit(1).alias("c"), F.lit(0).alias("s"))
-    return every.unionByName(spread).groupBy("token").agg(F.sum("c").alias("count"), F.sum("s").alias("spread"))
+    """``token, count, spread``: occurrences, and lines with the token, in one pass and one shuffle."""
+    first = F.transform("sorted", lambda w, i: F.struct(w.alias("token"), F.when((i > 0) & (F.get("sorted", i - 1) == w), 0).otherwise(1).alias("first")))
+    rows = lines.select(F.sort_array("words").alias("sorted")).select(F.inline(first))
+    return rows.groupBy("token").agg(F.count("*").alias("count"), F.sum("first").alias("spread"))
 
 
 def _runs(lines: DataFrame, valid: DataFrame | None, n: int) -> DataFrame:
@@ -78,6 +78,11 @@ class Lexicon:
         return self.attested.agg(F.sum("sentence_count").cast("double").alias("total"))
 
 
+def totals(lines: DataFrame) -> DataFrame:
+    """One row: ``sentences`` (lines with a word) and ``tokens``."""
+    return lines.agg(F.count("*").alias("sentences"), F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("tokens"))
+
+
 def build(lines: DataFrame, valid: DataFrame, bigram_least: int = 8, trigram_least: int = 6, spread_least: int = 20, valid_grams: bool = True) -> Lexicon:
     unis = unigrams(lines)
     grams = valid if valid_grams else None

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -36,6 +38,7 @@ def _patterns():
         "letters": regex.compile(r"\p{Alphabetic}"),
         "latin": regex.compile(r"[A-Za-zÀ-ɏḀ-ỿ]+"),
         "alnum": regex.compile(rf"[{alnum}]"),
+        "tick": regex.compile("`"),
         "indent": regex.compile(r"(?m)^(?: {4}|\t)[^\n]*"),
         "url": regex.compile(rf"(?=((?:https://|http://|ftp://|www\.)[^{space}]*))"),
         "email": regex.compile(rf"(?=(?<![{alnum}._+\-])([{alnum}._+\-]+)@([{alnum}.\-]*))"),
@@ -48,6 +51,12 @@ _compiled: dict = {}
 _TAIL = ".,;:!?)]\"'»…"
 
 
+def _inside(spans: list[tuple[int, int]]):
+    """Whether a place lies in one of the spans, which are sorted by their starts."""
+    starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    return lambda i: bool(starts) and (k := bisect_right(starts, i)) > 0 and ends[k - 1] > i
+
+
 def regions(text: str) -> list[tuple[int, int, str]]:
     """Protected stretches, by start and end."""
     if not _compiled:
@@ -60,11 +69,11 @@ def regions(text: str) -> list[tuple[int, int, str]]:
             break
         fences.append((at, close + 3))
         at = text.find("```", close + 3)
-    fenced = lambda i: any(a <= i < b for a, b in fences)
+    fenced = _inside(fences)
     out += [(a, b, "Code") for a, b in fences]
     held = None
-    for i, c in enumerate(text) if "`" in text else ():
-        if c == "`" and not fenced(i):
+    for m in p["tick"].finditer(text):
+        if not fenced(i := m.start()):
             if held is not None and "\n" not in text[held:i]:
                 out.append((held, i + 1, "Code"))
                 held = None
@@ -86,8 +95,9 @@ def regions(text: str) -> list[tuple[int, int, str]]:
         if "." in domain and not domain.endswith("."):
             emails.append((m.start(1), trimmed(m.start(1), m.end(2))))
     out += [(a, b, "Email") for a, b in emails]
+    mailed = _inside(emails)
     for m in p["marker"].finditer(text):
-        if not fenced(m.start()) and not any(a <= m.start() < b for a, b in emails):
+        if not fenced(m.start()) and not mailed(m.start()):
             out.append((m.start(), m.end(), "Mention" if m[1] == "@" else "Hashtag"))
     for m in p["path"].finditer(text):
         if not fenced(m.start()):
@@ -111,35 +121,64 @@ def _reason(raw: str, sentence_start: bool) -> str | None:
     return None
 
 
+class _Fact(NamedTuple):
+    """What a raw token says by itself: ``at_start`` and ``inside`` are its own reasons there; ``opens`` and ``closes`` a sentence start."""
+
+    kind: str
+    norm: str
+    size: int
+    at_start: str | None
+    inside: str | None
+    opens: bool
+    closes: bool
+
+
+_facts: dict[str, _Fact] = {}
+
+
+def _fact(raw: str, space: bool, run: bool) -> _Fact:
+    p, size, norm = _compiled, len(raw.encode()), _key(raw)
+    if space:
+        return _Fact("Space", norm, size, None, None, "\n" in raw, False)
+    if not run:
+        kind = "Other" if p["alnum"].match(raw) else "Punct"
+        return _Fact(kind, norm, size, None, None, kind == "Punct" and raw in ".!?…:;", False)
+    digit = any(c in "0123456789" for c in raw)
+    if p["letters"].search(raw):
+        return _Fact("Word", norm, size, *(("MixedAlnum",) * 2 if digit else (_reason(raw, True), _reason(raw, False))), False, True)
+    return _Fact("Number", norm, size, "Number", "Number", False, True) if digit else _Fact("Other", norm, size, None, None, False, False)
+
+
 def tokenize(text: str) -> list[Token]:
-    """Tokens that tile ``text``; spans are in UTF-8 bytes. A token's own reason goes before a region's."""
+    """Tokens that tile ``text``; spans are in UTF-8 bytes. A token's own reason goes before a region's.
+
+    What a raw token says by itself is remembered; time is linear in the text and its regions.
+    """
     zones = regions(text)
     out, byte, opening, zone = [], 0, True, 0
     for m in _compiled["tiles"].finditer(text):
-        raw, reason = m[0], None
-        starts = opening
-        if m["space"]:
-            kind = "Space"
-            opening = opening or "\n" in raw
-        elif m["run"]:
-            alpha, digit = bool(_compiled["letters"].search(raw)), any(c in "0123456789" for c in raw)
-            if alpha:
-                kind, reason = "Word", "MixedAlnum" if digit else _reason(raw, opening)
-            else:
-                kind, reason = ("Number", "Number") if digit else ("Other", None)
-            if kind != "Other":
-                opening = False
-        else:
-            kind = "Other" if _compiled["alnum"].match(raw) else "Punct"
-            if kind == "Punct" and raw in ".!?…:;":
-                opening = True
-        while zone < len(zones) and zones[zone][1] <= m.start():
-            zone += 1
-        if reason is None:
-            reason = next((r for a, b, r in zones[zone:] if a < m.end() and m.start() < b), None)
-        size = len(raw.encode())
-        out.append(Token(byte, byte + size, raw, kind, _key(raw), reason, starts))
-        byte += size
+        raw = m[0]
+        fact = _facts.get(raw)
+        if fact is None:
+            fact = _fact(raw, m["space"] is not None, m["run"] is not None)
+            if len(_facts) >= 100_000:
+                _facts.clear()
+            if len(raw) <= 64:
+                _facts[raw] = fact
+        starts, reason = opening, fact.at_start if opening else fact.inside
+        opening = (opening or fact.opens) and not fact.closes
+        if zones and reason is None:
+            while zone < len(zones) and zones[zone][1] <= m.start():
+                zone += 1
+            # sorted by start: none that begins behind the token can hold it
+            for k in range(zone, len(zones)):
+                if zones[k][0] >= m.end():
+                    break
+                if zones[k][1] > m.start():
+                    reason = zones[k][2]
+                    break
+        out.append(Token(byte, byte + fact.size, raw, fact.kind, fact.norm, reason, starts))
+        byte += fact.size
     return out
 
 
@@ -181,9 +220,19 @@ def corpus_words(text: Column) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line, words`` of each line with a word."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line", "content"))
-    return rows.select("doc_id", "line", corpus_words(F.col("content")).alias("words")).filter("size(words) > 0")
+    """``doc_id, line, words`` of each line with a word; one pass over the text, normalised once."""
+    found = F.transform(F.split(F.lower(nfc(F.col(text_col))), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"[{ALPHABET}]+"), F.lit(0)))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("line", "words")).filter("size(words) > 0")
+
+
+def kinds(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, n, bytes`` over all tokens, in the JVM; distinct raw tokens are counted before they are told apart."""
+    counts = docs.select(F.explode(tiles(F.col(text_col))).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    raw = F.col("raw")
+    one = F.when(raw.rlike(r"^[\p{IsAlphabetic}\p{N}]"), "Other").otherwise("Punct")
+    run = F.when(raw.rlike(r"\p{IsAlphabetic}"), "Word").when(raw.rlike("[0-9]"), "Number").otherwise("Other")
+    kind = F.when(raw.rlike(r"^\p{IsWhite_Space}"), "Space").when(raw.rlike(rf"^[\p{{IsAlphabetic}}{MARKS}{INVISIBLE}0-9]"), run).otherwise(one)
+    return counts.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.octet_length("raw")).alias("bytes"))
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 40, longest: int = 400, letters: float = 0.9, cap: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import lm, phonology, rules, tokens
 from ..operators.pages import clean_pages as pages_without_markup
 from ..operators.restore import restore
 from ..session import written
-from ..streaming.typing import words_batch
+from ..streaming.typing import breaks, suggestions, words_batch
 from . import evaluate
 from .sql import SQL  # noqa: F401
 
@@ -30,11 +30,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.lines(_docs(spark, sf_dir))
 
 
+def _stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all lines, written once where several tables come from them."""
+    return written(_lines(spark, sf_dir), "lines")
+
+
 def _every_word(lines: DataFrame, two: int = 8, three: int = 6) -> lx.Lexicon:
     """A lexicon in which each word counts as valid, as the tables have no Vietnamese."""
-    unis = lx.unigrams(lines)
+    unis = written(lx.unigrams(lines), "unigrams")
     known = unis.select(F.col("token").alias("syllable"), F.col("count").alias("dump_count"), F.col("count").alias("sentence_count"))
-    twos = lx.bigrams(lines, None, two)
+    twos = written(lx.bigrams(lines, None, two), "bigrams")
     return lx.Lexicon(known, unis.filter("1 = 0").select("token"), twos, lx.trigrams(lines, twos, None, three))
 
 
@@ -53,8 +58,7 @@ def invalid_words_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.tokens(_docs(spark, sf_dir))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+    return tokens.kinds(_docs(spark, sf_dir))
 
 
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,7 @@ def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
+    lines = _stored_lines(spark, sf_dir)
     return lx.trigrams(lines, lx.bigrams(lines)).select("a", "b", "c", "count")
 
 
@@ -114,11 +118,11 @@ def accepted_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lx.collocation(_every_word(_lines(spark, sf_dir))).select("a", "b", F.round("strength", 6).alias("strength"), F.round("tightness", 6).alias("tightness"))
+    return lx.collocation(_every_word(_stored_lines(spark, sf_dir))).select("a", "b", "strength", "tightness")
 
 
 def lexicon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stats()
+    return lx.build(_stored_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored().stats()
 
 
 def rule_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,16 +130,16 @@ def rule_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    known = lx.attested(lx.unigrams(lines), phonology.syllables(spark))
-    words = lx.unigrams(lines).select(F.col("token").alias("syllable"))
+    unis = written(lx.unigrams(_lines(spark, sf_dir)), "unigrams")
+    known = lx.attested(unis, phonology.syllables(spark))
+    words = unis.select(F.col("token").alias("syllable"))
     return cand.candidates(words, known)
 
 
 def candidates_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    known = lx.attested(lx.unigrams(lines), phonology.syllables(spark))
-    words = lx.unigrams(lines).select(F.col("token").alias("syllable"))
+    unis = written(lx.unigrams(_lines(spark, sf_dir)), "unigrams")
+    known = lx.attested(unis, phonology.syllables(spark))
+    words = unis.select(F.col("token").alias("syllable"))
     return cand.top_candidates(words, known).select("syllable", F.array_join("options", " ").alias("options"))
 
 
@@ -144,19 +148,21 @@ def telex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = phonology.syllables(spark).select("syllable", F.length("syllable").cast("long").alias("sentence_count"))
+    """All syllables, with their counts in the documents."""
+    counts = lx.unigrams(_lines(spark, sf_dir)).select(F.col("token").alias("syllable"), F.col("count").alias("sentence_count"))
+    known = phonology.syllables(spark).join(counts, "syllable", "left").select("syllable", F.coalesce("sentence_count", F.lit(0)).alias("sentence_count"))
     return cand.restore_options(known)
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = written(_lines(spark, sf_dir), "lines")
-    rows = lm.scored(lm.line_contexts(lines), _every_word(lines))
+    lines = _stored_lines(spark, sf_dir)
+    rows = lm.scored(lm.line_contexts(lines), _every_word(lines).stored())
     return rows.groupBy("doc_id").agg(F.round(F.sum("log_score"), 4).alias("log_score"), F.count("*").alias("words"))
 
 
 def local_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = written(_lines(spark, sf_dir), "lines")
-    rows = lm.local_scores(lm.line_contexts(lines), _every_word(lines), ["doc_id", "line"])
+    lines = _stored_lines(spark, sf_dir)
+    rows = lm.local_scores(lm.line_contexts(lines), _every_word(lines).stored(), ["doc_id", "line"])
     return rows.groupBy("doc_id").agg(F.round(F.min("local"), 4).alias("lowest"), F.round(F.max("local"), 4).alias("highest"))
 
 
@@ -177,7 +183,7 @@ def punctuation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, lx.Lexicon]:
     docs = perturbed(_docs(spark, sf_dir))
-    lex = lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored()
+    lex = lx.build(_stored_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored()
     return docs, chk.check(docs, lex), lex
 
 
@@ -191,38 +197,106 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return chk.explain(docs, lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored()).select("doc_id", "pos", "word", F.round("base", 6).alias("base"), "text", "reason", F.round("gain", 6).alias("gain"), "place")
+    lex = lx.build(_stored_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored()
+    return chk.explain(_docs(spark, sf_dir), lex).select("doc_id", "pos", "word", F.round("base", 6).alias("base"), "text", "reason", F.round("gain", 6).alias("gain"), "place")
 
 
 def restore_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    out = restore(docs, lx.build(_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored())
+    out = restore(_docs(spark, sf_dir), lx.build(_stored_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored())
     return out.select("doc_id", "restored", F.size("changes").alias("n_changes"))
 
 
-def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors planted in clean conversation turns, and how the check finds them."""
+def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, lx.Lexicon, chk.CheckOptions]:
+    """Conversation turns, errors planted in those that are clean, a lexicon that accepts every other word, and options.
+
+    Turns of the tables are short and have few Vietnamese syllables: one valid word is enough, findings of
+    punctuation don't matter, and the margin is 3.
+    """
     turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    known = lx.build(tokens.lines(turns), phonology.syllables(spark), 2, 2)
-    lex = lx.Lexicon(known.attested, lx.unigrams(tokens.lines(turns)).select("token").join(phonology.syllables(spark).withColumnRenamed("syllable", "token"), "token", "left_anti"), known.bigrams, known.trigrams).stored()
+    lines = written(tokens.lines(turns), "lines")
+    known = lx.build(lines, phonology.syllables(spark), 2, 2)
+    other = lx.unigrams(lines).select("token").join(phonology.syllables(spark).withColumnRenamed("syllable", "token"), "token", "left_anti")
+    lex = lx.Lexicon(known.attested, other, known.bigrams, known.trigrams).stored()
     options = chk.CheckOptions(margin=3.0)
     planted = written(evaluate.inject_errors(turns, chk.check(turns, lex, options).filter("layer > 0"), lex, least_words=1), "planted")
+    return turns, planted, lex, options
+
+
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors planted in clean conversation turns, and how the check finds them."""
+    _, planted, lex, options = _planted(spark, sf_dir)
     return evaluate.metrics(planted, chk.check(planted.select("doc_id", "text"), lex, options))
 
 
+def eval_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same errors, as the check finds them while the turns are typed."""
+    turns, planted, lex, options = _planted(spark, sf_dir)
+    return evaluate.realtime_report(turns, planted, lex, options)
+
+
+def eval_diacritic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of documents without their diacritics, restored."""
+    lex = lx.build(_stored_lines(spark, sf_dir), phonology.syllables(spark), 2, 2).stored()
+    rows = written(tokens.sentences(_docs(spark, sf_dir)).select(F.monotonically_increasing_id().alias("doc_id"), F.col("sentence").alias("text")), "sentences")
+    return evaluate.restoration(rows, lex)
+
+
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lx.totals(_lines(spark, sf_dir))
+
+
+def cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.cardinalities(spark)
+
+
+def rejected_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.rejected(lx.unigrams(_lines(spark, sf_dir)), phonology.syllables(spark))
+
+
+def unseen_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.unseen(lx.unigrams(_lines(spark, sf_dir)), phonology.syllables(spark))
+
+
+def scan_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.top_findings(_checked(spark, sf_dir)[1])
+
+
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.lines(pages_without_markup(_table(spark, sf_dir, "pages")), "page_id")
+
+
+def dump_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of cleaned pages."""
+    return lx.unigrams(_page_lines(spark, sf_dir)).select("token", "count")
+
+
+def attested_in_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syllables of cleaned pages, with their counts there and in documents."""
+    return lx.attested(lx.unigrams(_lines(spark, sf_dir)), phonology.syllables(spark), lx.unigrams(_page_lines(spark, sf_dir)))
+
+
 def rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five event types of each user, at each event."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
     return _table(spark, sf_dir, "events").select("event_id", F.array_join(F.collect_list("event_type").over(w), " ").alias("context"))
 
 
-def keystroke_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns typed key by key, one session for each turn."""
     turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn", "role").alias("session"), F.posexplode(F.split("text", "")).alias("seq", "ch"))
-    event = F.when(F.col("ch").rlike(r"""[\s,.!?;:)\]"']"""), "WordBreak").otherwise("Char")
-    keys = turns.filter("ch <> ''").select("session", F.col("seq").cast("long").alias("seq"), (F.col("seq") * 100).cast("long").alias("ts_ms"), event.alias("event"), "ch", F.lit("Physical").alias("source"))
-    return words_batch(keys)
+    event = F.when(breaks(F.col("ch")), "WordBreak").otherwise("Char")
+    return turns.filter("ch <> ''").select("session", F.col("seq").cast("long").alias("seq"), (F.col("seq") * 100).cast("long").alias("ts_ms"), event.alias("event"), "ch", F.lit("Physical").alias("source"))
+
+
+def keystroke_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_batch(_typed(spark, sf_dir))
+
+
+def typing_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is suggested while the turns are typed."""
+    lines = written(tokens.lines(_table(spark, sf_dir, "conversations"), "conv_id"), "lines")
+    lex = lx.build(lines, phonology.syllables(spark), 2, 2).stored()
+    return suggestions(_typed(spark, sf_dir), lex)
 
 
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +314,7 @@ QUERIES = {
     for f in (
         invalid_words_by_lang, token_kinds, token_spans, token_protection, sentences, syllables, syllable_compose, syllable_decompose, coverage_verify, token_freq, bigrams, trigrams, valid_bigrams,
         attested, accepted_foreign, collocation, lexicon_stats, rule_closure, candidates, candidates_top5, telex, restore_options, lm_scores, local_scores, strip_marks, special_letters,
-        punctuation_rules, check_all, scan_report, explain, restore_text, eval_metrics, rolling_context, keystroke_words, clean_pages, train_split,
+        punctuation_rules, check_all, scan_report, scan_top, explain, restore_text, eval_metrics, eval_realtime, eval_diacritic, corpus_totals, cardinalities, rejected_top, unseen_syllables, dump_frequency,
+        attested_in_dump, rolling_context, keystroke_words, typing_suggestions, clean_pages, train_split,
     )
 }

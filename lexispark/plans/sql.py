@@ -124,8 +124,29 @@ SQL: dict[str, str] = {
     "accepted_foreign": f"WITH {DIMENSIONS}, {LINES} SELECT token, count, spread FROM unis WHERE spread >= 20 AND token NOT IN (FROM valid)",
     "collocation": f"""
         WITH {LINES}, {_TWOS}
-        SELECT a, b, round(t.count / CAST(x.count AS DOUBLE), 6) AS strength, round(least(t.count / CAST(x.count AS DOUBLE), t.count / CAST(y.count AS DOUBLE)), 6) AS tightness
+        SELECT a, b, t.count / CAST(x.count AS DOUBLE) AS strength, least(t.count / CAST(x.count AS DOUBLE), t.count / CAST(y.count AS DOUBLE)) AS tightness
         FROM twos t JOIN unis x ON x.token = a JOIN unis y ON y.token = b""",
+    "corpus_totals": f"WITH {LINES} SELECT count(*) AS sentences, CAST(coalesce(sum(len(words)), 0) AS BIGINT) AS tokens FROM lines",
+    "rejected_top": f"""
+        WITH {DIMENSIONS}, {LINES}
+        SELECT token, count, regexp_matches(token, '[{SPECIAL}]') AS special, CAST(row_number() OVER (ORDER BY count DESC, token) AS INTEGER) AS rank
+        FROM unis WHERE token NOT IN (FROM valid) QUALIFY rank <= 30""",
+    "unseen_syllables": f"WITH {DIMENSIONS}, {LINES} SELECT syllable FROM valid WHERE syllable NOT IN (SELECT token FROM unis)",
+    "cardinalities": f"""
+        WITH {DIMENSIONS}, {_rules}, made AS (
+            SELECT DISTINCT rime, CASE kind WHEN 'coda' THEN CASE WHEN suffix(rime, src) THEN substr(rime, 1, length(rime) - length(src)) || dst END
+                ELSE CASE WHEN instr(rime, src) > 0 THEN substr(rime, 1, instr(rime, src) - 1) || dst || substr(rime, instr(rime, src) + length(src)) END END AS made
+            FROM rimes, rules WHERE kind IN ('coda', 'nucleus'))
+        SELECT 'rules_' || kind AS what, count(*) AS n FROM rules WHERE kind IN ('onset', 'tone') GROUP BY kind
+        UNION ALL SELECT 'rules_rime', count(*) FROM made WHERE made <> rime AND made IN (SELECT rime FROM rimes)
+        UNION ALL SELECT 'onsets', count(*) FROM onsets UNION ALL SELECT 'rimes', count(*) FROM rimes UNION ALL SELECT 'syllables', count(*) FROM valid""",
+    "keystroke_words": """
+        WITH t AS (SELECT concat_ws(':', conv_id, turn, role) AS session, regexp_extract_all(text, '[^\\s\\x0b,.!?;:)\\]"'']*[\\s\\x0b,.!?;:)\\]"'']') AS parts FROM conversations),
+        p AS (SELECT session, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM t),
+        q AS (SELECT session, CAST(sum(length(part)) OVER (PARTITION BY session ORDER BY k) - 1 AS BIGINT) AS seq, left(part, length(part) - 1) AS run, right(part, 1) AS breaker FROM p),
+        w AS (SELECT session, seq, right(run, length(run) % 17) AS word, breaker FROM q WHERE length(run) % 17 > 0)
+        SELECT session, seq, word, breaker, string_agg(word || breaker, '') OVER c AS context, string_agg(word, ' ') OVER c AS phrase
+        FROM w WINDOW c AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
     "lexicon_stats": f"""
         WITH {DIMENSIONS}, {LINES}, att AS (SELECT * FROM unis WHERE token IN (FROM valid)),
         twos AS (SELECT w AS a, b, count(*) AS count FROM grams WHERE w IN (FROM valid) AND b IN (FROM valid) GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -147,7 +168,7 @@ SQL: dict[str, str] = {
         SELECT syllable, f AS text FROM bad WHERE f <> syllable AND f IN (FROM valid)
         UNION SELECT r.syllable, c.syllable FROM read r JOIN compositions c ON c.onset = r.onset AND c.rime = r.rime AND c.tone = r.tone AND placement = 0""",
     "restore_options": f"""
-        WITH {DIMENSIONS}, r AS (SELECT translate(syllable, '{_marked}', '{_plain}') AS bare, syllable AS text, length(syllable) AS frequency FROM valid)
+        WITH {DIMENSIONS}, {LINES}, r AS (SELECT translate(syllable, '{_marked}', '{_plain}') AS bare, syllable AS text, CAST(coalesce(count, 0) AS BIGINT) AS frequency FROM valid LEFT JOIN unis ON token = syllable)
         SELECT bare, text, frequency, CAST(row_number() OVER (PARTITION BY bare ORDER BY frequency DESC, text) AS INTEGER) AS rank FROM r QUALIFY rank <= 12""",
     "lm_scores": f"WITH {LINES}, {_SCORES} SELECT doc_id, round(sum(s), 4) AS log_score, count(*) AS words FROM scores GROUP BY 1",
     "local_scores": f"""

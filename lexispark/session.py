@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a job go when its table has been written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fixed: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -20,13 +23,26 @@ def fixed(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Data
     return _fixed[key]
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    """For local sessions (tests) that name no folder."""
+    return "file://" + tempfile.mkdtemp(prefix="lexispark-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in ``spark.checkpoint.dir``: cuts the plan, survives lost executors, has a known size."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local_dir()
     path = f"{found.rstrip('/')}/lexispark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

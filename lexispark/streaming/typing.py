@@ -1,30 +1,78 @@
-"""Words of a stream of key events, and their rolling context; the same machine serves batch and stream."""
+"""Words of a stream of key events, their rolling context, and suggestions while typing; the same machine serves batch and stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import asdict, dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-LONGEST, CONTEXT, ECHO_MS = 16, 5, 20
+from ..operators.check import CheckOptions, recheck
+from ..operators.lexicon import Lexicon
+
+LONGEST, CONTEXT, ECHO_MS, TRAIL = 16, 5, 20, 24
+#: How much the margin is eased while typing, and its least value.
+EASED, LEAST_MARGIN = 1.0, 3.0
 BREAKERS = ",.!?;:)]\"'"
-# Events, and where they come from.
-EVENTS = ("Char", "Backspace", "WordBreak", "CaretMoved", "FocusChanged")
+# Events, and programs whose input is never read.
+EVENTS = ("Char", "Backspace", "WordBreak", "CaretMoved", "FocusChanged", "Accept")
+BLOCKED = ("keepass.exe", "keepassxc.exe", "1password.exe", "bitwarden.exe", "lastpass.exe", "dashlane.exe", "mstsc.exe", "windowsterminal.exe", "cmd.exe", "powershell.exe", "pwsh.exe", "conhost.exe")
+# Virtual keys that move the caret, and marks by key without and with Shift.
+CARET_KEYS = (0x1B, 0x21, 0x22, 0x23, 0x24, 0x25, 0x26, 0x27, 0x28, 0x2E)
+MARK_KEYS = {0xBA: ";:", 0xBC: ",<", 0xBE: ".>", 0xBF: "/?"}
+DASH_KEY, PACKET, BACK = (0xBD, "-_"), 0xE7, 0x08
+SPACE_KEYS = {0x20: " ", 0x0D: "\n", 0x09: "\t"}
+
+
+def breaks(ch: Column) -> Column:
+    """Whether a character ends a word."""
+    return ch.rlike(r"""^[\s,.!?;:)\]"']$""")
+
+
+def key_events(keys: DataFrame) -> DataFrame:
+    """Adds ``event, ch`` to rows with ``vk, scan, shift``; keys that don't touch the text go."""
+    vk, shift = F.col("vk"), F.coalesce(F.col("shift"), F.lit(False))
+    pick = lambda pair: F.when(shift, F.lit(pair[1])).otherwise(F.lit(pair[0]))
+    packet = F.decode(F.unhex(F.lpad(F.hex(F.col("scan")), 8, "0")), "utf-32")
+    letter, digit = vk.between(0x41, 0x5A), vk.between(0x30, 0x39) & ~shift
+    ch = F.when(vk == PACKET, packet).when(letter, F.when(shift, F.char(vk)).otherwise(F.lower(F.char(vk)))).when(digit, F.char(vk)).when(vk == DASH_KEY[0], pick(DASH_KEY[1]))
+    event = F.when(vk == PACKET, F.when(breaks(packet), "WordBreak").otherwise("Char")).when(vk == BACK, "Backspace").when(vk.isin(*CARET_KEYS), "CaretMoved")
+    event = event.when(vk.isin(*SPACE_KEYS, *MARK_KEYS), "WordBreak").when(letter | digit | (vk == DASH_KEY[0]), "Char")
+    for key, mark in SPACE_KEYS.items():
+        ch = ch.when(vk == key, F.lit(mark))
+    for key, pair in MARK_KEYS.items():
+        ch = ch.when(vk == key, pick(pair))
+    return keys.withColumns({"event": event, "ch": ch}).filter("event is not null")
+
+
+def blocked(app: Column, password: Column, more: Iterable[str] = ()) -> Column:
+    """Whether the program or field that has the focus must not be read."""
+    return F.coalesce(F.lower(app).isin(*BLOCKED, *(x.lower() for x in more)), F.lit(False)) | F.coalesce(password, F.lit(False))
 
 
 @dataclass
 class Typist:
-    """Buffer of one session. An injected key that follows a physical character within ``ECHO_MS`` replaces it."""
+    """Buffer of one session. An injected key that follows a physical character within ``ECHO_MS`` replaces it.
+    While the focus is on something blocked, no key is read; FocusChanged, Tab and Enter look again."""
 
     word: str = ""
     context: list[tuple[str, str]] = field(default_factory=list)
     suppress: int = 0
     last_ms: int = -1
     armed: bool = False
+    allowed: bool = True
+
+    def expect_own(self, n: int) -> None:
+        """The next ``n`` injected keys are our own."""
+        self.suppress += n
 
-    def feed(self, ts_ms: int, event: str, ch: str | None, source: str) -> tuple[str, str] | None:
+    def feed(self, ts_ms: int, event: str, ch: str | None, source: str, blocked: bool = False) -> tuple[str, str] | None:
+        if event == "FocusChanged" or (event == "WordBreak" and ch in ("\t", "\n")):
+            self.allowed = not blocked
+        if not self.allowed and event not in ("FocusChanged", "CaretMoved"):
+            return None
         if source == "Injected":
             if self.suppress:
                 self.suppress -= 1
@@ -53,30 +101,35 @@ class Typist:
         return None
 
 
-OUTPUT = "session string, seq long, word string, breaker string, context string"
+OUTPUT = "session string, seq long, word string, breaker string, context string, phrase string"
+_NAMES = [f.split(" ")[0] for f in OUTPUT.split(", ")]
 
 
 def _emit(session: str, typist: Typist, events: Iterable[tuple]) -> Iterator[tuple]:
-    for seq, ts, event, ch, source in events:
-        if done := typist.feed(int(ts), event, None if pd.isna(ch) else ch, source):
-            yield session, int(seq), *done, "".join(w + b for w, b in typist.context)
+    for seq, ts, event, ch, source, stop in events:
+        if done := typist.feed(int(ts), event, None if pd.isna(ch) else ch, source, bool(stop)):
+            yield session, int(seq), *done, "".join(w + b for w, b in typist.context), " ".join(w for w, _ in typist.context)
+
 
+_IN = ["seq", "ts_ms", "event", "ch", "source", "blocked"]
 
-_IN = ["seq", "ts_ms", "event", "ch", "source"]
+
+def _with_blocked(events: DataFrame) -> DataFrame:
+    return events if "blocked" in events.columns else events.withColumn("blocked", F.lit(False))
 
 
 def words_batch(events: DataFrame) -> DataFrame:
-    """``events``: ``session, seq, ts_ms, event, ch, source``. One row per word, a session at a time."""
+    """``events``: ``session, seq, ts_ms, event, ch, source`` and, if the focus matters, ``blocked``. One row per word, a
+    session at a time; ``phrase`` has the words of the context, joined by spaces."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
-        rows = list(_emit(key[0], Typist(), frame[_IN].itertuples(index=False)))
-        return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in OUTPUT.split(", ")])
+        return pd.DataFrame(list(_emit(key[0], Typist(), frame[_IN].itertuples(index=False))), columns=_NAMES)
 
-    return events.groupBy("session").applyInPandas(run, OUTPUT)
+    return _with_blocked(events).groupBy("session").applyInPandas(run, OUTPUT)
 
 
-_STATE = "word string, words array<string>, breakers array<string>, suppress int, last_ms long, armed boolean"
+_STATE = "word string, words array<string>, breakers array<string>, suppress int, last_ms long, armed boolean, allowed boolean"
 
 
 def words_stream(events: DataFrame) -> DataFrame:
@@ -86,34 +139,107 @@ def words_stream(events: DataFrame) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         typist = Typist()
         if state.exists:
-            word, words, breakers, suppress, last, armed = state.get
-            typist = Typist(word, list(zip(words, breakers, strict=True)), suppress, last, armed)
+            word, words, breakers, *rest = state.get
+            typist = Typist(word, list(zip(words, breakers, strict=True)), *rest)
         frame = pd.concat(list(frames)).sort_values("seq")
         rows = list(_emit(key[0], typist, frame[_IN].itertuples(index=False)))
         kept = asdict(typist)
-        state.update((kept["word"], [w for w, _ in kept["context"]], [b for _, b in kept["context"]], kept["suppress"], kept["last_ms"], kept["armed"]))
-        yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in OUTPUT.split(", ")])
+        state.update((kept["word"], [w for w, _ in kept["context"]], [b for _, b in kept["context"]], kept["suppress"], kept["last_ms"], kept["armed"], kept["allowed"]))
+        yield pd.DataFrame(rows, columns=_NAMES)
 
-    return events.groupBy("session").applyInPandasWithState(run, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return _with_blocked(events).groupBy("session").applyInPandasWithState(run, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def decide(pending: tuple[str, str] | None, hit: tuple[str, str] | None) -> str:
-    """Keep what is shown without a new hit, or with the same one; else show the hit."""
-    if hit is None or hit == pending:
-        return "Keep"
-    return "Show"
+    """Without a hit what is shown stays, and Clear if nothing is; the same hit stays; another is shown."""
+    if hit is None:
+        return "Keep" if pending else "Clear"
+    return "Keep" if hit == pending else "Show"
 
 
-def absorb(trail: str, event: str, ch: str | None, longest: int = 24) -> str | None:
+def absorb(trail: str, event: str, ch: str | None, longest: int = TRAIL) -> str | None:
     """What was typed after a suggestion; None once it has expired."""
-    if event == "Char" or event == "WordBreak":
+    if event in ("Char", "WordBreak"):
         trail += ch or ""
-        return trail if len(trail) <= longest else None
-    if event == "Backspace":
-        return trail[:-1] if trail else None
-    return None
+    elif event == "Backspace":
+        if not trail:
+            return None
+        trail = trail[:-1]
+    return trail if len(trail) <= longest else None
 
 
 def apply_plan(word: str, breaker: str, trail: str, replacement: str) -> tuple[int, str]:
     """Characters to erase, and what to type instead."""
     return len(word) + len(breaker) + len(trail), replacement + breaker + trail
+
+
+@dataclass
+class Assistant:
+    """Suggestions of one session: what is pending, and the text that followed it."""
+
+    typist: Typist = field(default_factory=Typist)
+    pending: tuple[str, str, str, str] | None = None
+
+    def feed(self, ts_ms: int, event: str, ch: str | None, source: str, stop: bool, hit: tuple[int, str, bool] | None) -> tuple | None:
+        """``action, word, replacement, certain, erase, retype`` if the event has a visible effect. ``hit``: words from
+        the end, replacement, certain; used if the event ends a word."""
+        if event == "Accept":
+            if not self.pending:
+                return None
+            word, replacement, breaker, trail = self.pending
+            erase, retype = apply_plan(word, breaker, trail, replacement)
+            self.pending, self.typist.word, self.typist.context = None, "", []
+            self.typist.expect_own(erase + len(retype))
+            return "Apply", word, replacement, None, erase, retype
+        done = self.typist.feed(ts_ms, event, ch, source, stop)
+        if event in ("FocusChanged", "CaretMoved"):
+            shown, self.pending = self.pending, None
+            return ("Hide", shown[0], shown[1], None, None, None) if shown else None
+        if not self.typist.allowed:
+            return None
+        expired = None
+        if self.pending:
+            trail = absorb(self.pending[3], event, ch)
+            expired, self.pending = (self.pending, None) if trail is None else (None, (*self.pending[:3], trail))
+        if done:
+            before = self.pending and self.pending[:2]
+            context = self.typist.context
+            at = None if hit is None else len(context) - 1 - hit[0]
+            found = None if at is None or at < 0 else (context[at][0], hit[1])
+            if decide(before, found) == "Show":
+                self.pending = (*found, context[at][1], "".join(w + b for w, b in context[at + 1 :]))
+                return "Show", *found, hit[2], None, None
+        return ("Hide", expired[0], expired[1], None, None, None) if expired else None
+
+
+ACTIONS = "session string, seq long, action string, word string, replacement string, certain boolean, erase int, retype string"
+
+
+def hits(words: DataFrame, lex: Lexicon, options: CheckOptions = CheckOptions(), personal: DataFrame | None = None) -> DataFrame:
+    """``session, seq, back, word, replacement, certain`` of completed words whose context has a finding among its last two words."""
+    eased = replace(options, margin=max(options.margin - EASED, LEAST_MARGIN))
+    found = recheck(words.select("phrase"), lex, eased, personal).withColumnRenamed("word", "hit")
+    return words.select("session", "seq", "phrase").join(found, "phrase").select("session", "seq", "back", F.col("hit").alias("word"), "replacement", "certain")
+
+
+def suggestions(events: DataFrame, lex: Lexicon, options: CheckOptions = CheckOptions(), personal: DataFrame | None = None) -> DataFrame:
+    """What a user sees of typed sessions: one row per suggestion shown, hidden or applied. The check of all
+    contexts is one distributed pass; each session's events then run through its pending suggestion."""
+    events = _with_blocked(events)
+    found = hits(words_batch(events), lex, options, personal)
+
+    def run(key: tuple, frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        by = {int(r.seq): (int(r.back), r.replacement, bool(r.certain)) for r in own.itertuples(index=False)}
+        assistant, rows = Assistant(), []
+        for seq, ts, event, ch, source, stop in frame.sort_values("seq")[_IN].itertuples(index=False):
+            if action := assistant.feed(int(ts), event, None if pd.isna(ch) else ch, source, bool(stop), by.get(int(seq))):
+                rows.append((key[0], int(seq), *action))
+        out = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in ACTIONS.split(", ")])
+        return out.astype({"erase": "Int32", "certain": "boolean"})
+
+    return events.groupBy("session").cogroup(found.groupBy("session")).applyInPandas(run, ACTIONS)
+
+
+def suggestions_stream(events: DataFrame, lex: Lexicon, sink: Callable[[DataFrame, int], None], options: CheckOptions = CheckOptions(), personal: DataFrame | None = None):
+    """A stream writer that gives ``sink`` the hits of each micro-batch of key events (``start()`` runs it)."""
+    return words_stream(events).writeStream.foreachBatch(lambda batch, n: sink(hits(batch, lex, options, personal), n))
