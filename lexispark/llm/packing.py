@@ -84,10 +84,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 2048, end_id: i
     # one row per task of the scan
     sums = encoded.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base"))
-    total = sums.agg(F.sum("part_tokens")).first()[0] or 0
+    # written, so that Spark knows the size and needn't shuffle the ids to meet it
+    bases = written(sums.select("part", "part_tokens", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base")), "packing-bases")
+    total = bases.agg(F.sum("part_tokens")).first()[0] or 0
     last, rest = divmod(total, window)
     padded = rest if rest & (rest - 1) == 0 else window
-    placed = encoded.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("place"), "n_tokens", "ids")
+    placed = encoded.join(bases.drop("part_tokens"), "part").select("doc_id", (F.col("base") + F.col("first")).alias("place"), "n_tokens", "ids")
     pieces = placed.mapInArrow(_pieces(path, window), _PIECES)
     return pieces.withColumn("padded_length", F.when(F.col("sequence_id") == last, F.lit(padded)).otherwise(F.lit(window)).cast("long"))
