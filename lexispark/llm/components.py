@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: Up to so many edges, 8 MB of ids, one task joins them by itself.
 FEW = 500_000
@@ -46,10 +46,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = written(both.filter("v > u").join(_minima(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "cc-large")
+        lowest = _minima(both)
+        large = written(both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "cc-large")
         low = _minima(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = written(small.filter("u <> v").distinct(), "cc-small")
+        before, now = now, written(small.filter("u <> v").distinct(), "cc-small")
+        forget(before, lowest, large, low)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, slices, written
+from .common import forget, short_batches, slices, written
 from .components import components
 from .textscan import mix, shingle_sets
 
@@ -216,34 +216,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")),
         "nd-classes",
     )
-    edges = _links(docs, classes, percent)
+    tables: list[DataFrame] = []
+    edges = _links(docs, classes, percent, tables)
     labels = written(components(edges, "a", "b"), "nd-components")
     named = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     named = written(named, "nd-named")
+    forget(classes, labels, *tables)
     out = sketches.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between nodes that give the components."""
+def _links(docs: DataFrame, classes: DataFrame, percent: int, tables: list[DataFrame]) -> DataFrame:
+    """Confirmed links between nodes that give the components; ``tables`` gets those to remove after."""
     bands = classes.select("node", "registers").mapInArrow(_bands, "band long, node long")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    active = written(bands.join(shared, "band"), "nd-shared")
+    pairs = written(bands.join(shared, "band"), "nd-shared")
     # a band's centre is its node with the most company in all bands: what a group's copies agree on
-    company = written(active.groupBy("node").agg(F.sum("n").alias("company")), "nd-company")
-    centres = written(active.join(company, "node").groupBy("band").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "nd-centres")
-    active = written(active.select("band", "node").join(centres, "band"), "nd-active")
+    company = written(pairs.groupBy("node").agg(F.sum("n").alias("company")), "nd-company")
+    centres = written(pairs.join(company, "node").groupBy("band").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "nd-centres")
+    active = written(pairs.select("band", "node").join(centres, "band"), "nd-active")
+    forget(pairs, company, centres)
     wanted = active.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "node long, set_id binary, shingles array<bigint>")
     sets = written(sets.join(classes.select("node", "set_id"), ["node", "set_id"], "left_semi").select("node", "shingles"), "nd-sets")
+    tables.append(sets)
     edges = _confirmed(active.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")), classes, sets, percent)
+    tables.append(edges)
     for attempt in range(ROUNDS + 1):
         labels = written(components(edges, "a", "b"), "nd-labels")
         placed = active.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
         parted = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-        active = written(placed.join(parted.select("band", "n"), "band"), f"nd-open-{attempt}")
+        before, active = active, written(placed.join(parted.select("band", "n"), "band"), f"nd-open-{attempt}")
+        forget(before, labels)
+        tables.append(active)
         open_rows = active.count()
         if not open_rows:
             return edges
@@ -252,12 +259,18 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         # another centre in each band: a member of the component that has most of it
         turn = F.xxhash64("node", F.lit(attempt))
         largest = active.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("node", turn).alias("centre")).groupBy("band").agg(F.max_by(F.struct("centre", "component"), F.struct("n", "component")).alias("c"))
-        star = active.select("band", "node", "component").join(written(largest.select("band", "c.*").withColumnRenamed("component", "other"), "nd-centres"), "band").filter("component <> other")
+        largest = written(largest.select("band", "c.*").withColumnRenamed("component", "other"), "nd-centres")
+        star = active.select("band", "node", "component").join(largest, "band").filter("component <> other")
         found = _confirmed(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), classes, sets, percent)
+        forget(largest)
+        tables.append(found)
         edges = edges.unionByName(found)
         if 1000 * found.count() <= open_rows:
             break
-    return edges.unionByName(_verified(_compared(active, classes, sets, percent), sets, percent))
+    compared = _compared(active, classes, sets, percent)
+    last = _verified(compared, sets, percent)
+    tables += [compared, last]
+    return edges.unionByName(last)
 
 
 def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,11 +284,14 @@ def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least("own", k) * F.col("blocks") + F.greatest("own", k)).alias("block"), F.when(k == F.col("own"), 0).when(k > F.col("own"), 1).otherwise(2).alias("side")))
     parities = sets.join(active.select("node").distinct(), "node", "left_semi").mapInArrow(_parities, "node long, parity binary")
     about = classes.select("node", F.col("n").alias("size"), "registers").join(parities, "node")
-    rows = rows.join(written(about.distinct(), "nd-about"), "node")
+    about = written(about.distinct(), "nd-about")
+    rows = rows.join(about, "node")
     rows = rows.withColumn("m", F.explode(meet)).select("band", F.col("m.block").alias("block"), F.col("m.side").alias("side"), "node", "component", "size", "registers", "parity")
     n = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "band", "block").sortWithinPartitions("band", "block")
-    return written(rows.mapInArrow(_met(percent), "a long, b long, n_a long, n_b long"), "nd-likely")
+    found = written(rows.mapInArrow(_met(percent), "a long, b long, n_a long, n_b long"), "nd-likely")
+    forget(about)
+    return found
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +300,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     sized = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
     sized = sized.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "r_a", "r_b")
     likely = written(sized.mapInArrow(_likely, "a long, b long, n_a long, n_b long"), "nd-likely")
-    return _verified(likely, sets, percent)
+    found = _verified(likely, sets, percent)
+    forget(likely)
+    return found
 
 
 def _verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
