@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import langid, linededup, neardup, packing
+from lexispark.llm.common import forget, written
 
 _ID, _KEY = "__doc_id", "__text_key"
 
@@ -13,7 +14,8 @@ _ID, _KEY = "__doc_id", "__text_key"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that language ID rejects: blank texts, and texts of no known language."""
     judged = langid.identify(docs, langid.fit(docs), host_col="source", keep_text_key=True)
-    gone = judged.filter("rejected").select(F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY)).distinct()
+    # written, so that Spark knows the size and needn't shuffle all texts to meet a short list
+    gone = written(judged.filter("rejected").select(F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY)).distinct(), "rejected")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.xxhash64("text") == F.col(_KEY)), "left_anti")
 
 
@@ -25,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest id."""
-    gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(_ID)).distinct()
+    gone = written(neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(_ID)).distinct(), "duplicates")
     return docs.join(gone, F.col("doc_id") == F.col(_ID), "left_anti")
 
 
@@ -42,6 +44,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
