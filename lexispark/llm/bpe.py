@@ -9,10 +9,11 @@
    once per task.
 4. Every shared chunk is encoded once, joined to its references, and the documents are put together.
    The ids of a chunk must have a token boundary at both ends of the part that is used; where they
-   haven't, the text is re-encoded over both neighbours, until the parts agree.
+   haven't, its text is re-encoded together with both neighbours, and on to theirs where those don't
+   agree either, until all parts do.
 
-A safe place is a white space byte after a printable ASCII byte: no pre-token reaches over it, so the
-ids on either side depend on that side alone.
+A safe place is a space or line feed after a character that is no white space: no pre-token reaches over it,
+so the ids on either side depend on that side alone. Scripts without spaces have few, and share little.
 """
 
 from __future__ import annotations
@@ -124,9 +125,15 @@ def cuts(data: bytes, average: int, least: int) -> list[int]:
 def _safe(data: bytes) -> np.ndarray:
     """Safe places of ``data``."""
     a = np.frombuffer(data, np.uint8)
-    if len(a) < 2:
-        return np.empty(0, np.int64)
-    return np.flatnonzero(((a[1:] == 32) | (a[1:] == 10)) & (a[:-1] > 32) & (a[:-1] < 127)) + 1
+    at = np.flatnonzero(((a[1:] == 32) | (a[1:] == 10)) & (a[:-1] > 32) & (a[:-1] != 127)) + 1
+    wide = at[a[at - 1] > 127]
+    if not len(wide):
+        return at
+    # white space beyond ASCII: U+85, U+A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    p1, p2, p3 = a[wide - 1], a[wide - 2], a[np.maximum(wide - 3, 0)]
+    blank = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)) | (p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
+    blank |= (p3 == 0xE2) & ((p2 == 0x80) & ((p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF)) | (p2 == 0x81) & (p1 == 0x9F))
+    return np.setdiff1d(at, wide[blank])
 
 
 def _keys(average: int, least: int):
@@ -238,6 +245,39 @@ def _encode(path: str):
     return run
 
 
+def joined(codec: Codec, own: np.ndarray, sizes: list[int], parts: list[tuple[int, int, np.ndarray]]) -> tuple[list[int], int]:
+    """Ids of a document of ``own`` stretches and shared chunks in turn, and how many chunks had to be re-encoded.
+
+    Of a chunk the bytes ``lo`` to ``hi`` count. If its ids have no boundary there, they are re-encoded with the
+    stretches on both sides; neighbouring chunks that don't agree either are taken in as well.
+    """
+    ends = np.cumsum([0, *sizes])
+    out: list[int] = []
+    text = b""
+    repaired = 0
+    for k in range(len(sizes)):
+        stretch = own[ends[k] : ends[k + 1]].tolist()
+        found = None
+        if k < len(parts):
+            lo, hi, ids = parts[k]
+            edges = np.concatenate([[0], np.cumsum(codec.lengths[ids])])
+            i, j = np.searchsorted(edges, [lo, hi])
+            if j < len(edges) and edges[i] == lo and edges[j] == hi:
+                found = ids[i:j].tolist()
+        if k < len(parts) and found is None:
+            # begins, or goes on with, a text to encode as one
+            text += codec.decode_bytes(stretch) + codec.decode_bytes(ids.tolist())[lo:hi]
+            repaired += 1
+            continue
+        if text:
+            out += codec.encode((text + codec.decode_bytes(stretch)).decode())
+            text = b""
+        else:
+            out += stretch
+        out += found or []
+    return out, repaired
+
+
 def _assemble(path: str):
     """Rows sorted by document: first what the document has itself, then its chunks in order."""
 
@@ -250,26 +290,8 @@ def _assemble(path: str):
             return np.frombuffer(unpack(payload), codec.dtype)
 
         def finish(doc_id, own, sizes, parts) -> tuple:
-            pieces, at, agreed = [], 0, True
-            for size, (lo, hi, payload) in zip(sizes, parts, strict=False):
-                pieces.append(own[at : at + size])
-                at += size
-                ids = ids_of(payload)
-                edges = np.concatenate([[0], np.cumsum(codec.lengths[ids])])
-                i, j = np.searchsorted(edges, [lo, hi])
-                agreed &= bool(edges[i] == lo and j < len(edges) and edges[j] == hi)
-                pieces.append(ids[i:j] if agreed else np.frombuffer(b"", codec.dtype))
-                if not agreed:
-                    break
-            if agreed:
-                ids = np.concatenate([*pieces, own[at:]]).tolist()
-            else:  # no common boundary: the joint text is encoded as one
-                data, at = b"", 0
-                for size, (lo, hi, payload) in zip(sizes, parts, strict=False):
-                    data += codec.decode_bytes(own[at : at + size].tolist()) + codec.decode_bytes(ids_of(payload).tolist())[lo:hi]
-                    at += size
-                ids = codec.encode((data + codec.decode_bytes(own[at:].tolist())).decode())
-            return doc_id, len(ids), codec.ids_digest(ids), codec.text_digest(ids)
+            ids, repaired = joined(codec, own, sizes, [(lo, hi, ids_of(payload)) for lo, hi, payload in parts])
+            return doc_id, len(ids), codec.ids_digest(ids), codec.text_digest(ids), len(parts), repaired
 
         now, rows = None, []
         for batch in batches:
@@ -291,11 +313,12 @@ def _assemble(path: str):
     return run
 
 
-_RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, shared_chunks int, repaired_chunks int"
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", average: int = 512, least: int = 64) -> DataFrame:
-    """Encode whole texts and decode them again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+    """Encode whole texts and decode them again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and how many shared
+    chunks the document has and how many of these were re-encoded (``shared_chunks, repaired_chunks``).
 
     One row per input row, also for repeated rows and ids and for null ids. A null text counts as
     empty: no token, digests of the empty string. An empty table gives an empty result. Columns beside
@@ -312,11 +335,13 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     refs = rows.filter("kind = 2").select("row", "doc_id", "seq", "key", "lo", "hi").join(encoded, "key").select("row", "doc_id", "seq", "lo", "hi", F.col("chunk_ids").alias("payload"), F.lit(None).cast("array<int>").alias("sizes"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = own.unionByName(refs).repartition(n, "row").sortWithinPartitions("row", "seq")
-    return rows.filter("kind = 0").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(whole.mapInArrow(_assemble(path), _RESULT))
+    alone = rows.filter("kind = 0").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.lit(0).alias("shared_chunks"), F.lit(0).alias("repaired_chunks"))
+    return alone.unionByName(whole.mapInArrow(_assemble(path), _RESULT))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` of whole texts, row by row; null texts are empty."""
+    """``doc_id, ids array<int>`` of whole texts, row by row; null texts are empty, null and repeated ids stay. An empty
+    table gives an empty result."""
     path = path or tokenizer_path()
 
     def run(batches):
@@ -328,7 +353,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, text`` of ``doc_id, ids``; null ids give an empty text."""
+    """``doc_id, text`` of ``doc_id, ids``, row by row; null ids give an empty text. An empty table gives an empty result."""
     path = path or tokenizer_path()
 
     def run(batches):
