@@ -8,7 +8,7 @@ section's those of all its paragraphs; the root is the digest of all sections an
 roots mean equal texts, unequal digests tell the sections and paragraphs that were edited. Texts whose
 m differ by a factor of two are compared at the borders that both have.
 
-A fingerprint is ``root:m:paragraphs:sections`` with 8 hexadecimal digits for each node.
+A fingerprint is ``root:m:paragraphs:sections`` with 16 hexadecimal digits, 64 bits, for each node.
 """
 
 from __future__ import annotations
@@ -29,16 +29,13 @@ def _tree(text: Column) -> Column:
     hashes = F.transform(units, lambda u: F.xxhash64(u))
     base = F.struct(hashes.alias("h"), F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.size(units) / F.lit(float(UNITS)))))).cast("bigint").alias("m"))
 
-    def low(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint")
-
     def step(m: Column):
         def run(s: Column, h: Column) -> Column:
             p, q = F.xxhash64(s["p0"], h), F.xxhash64(s["s0"], h)
             end_p, end_s = F.pmod(h, m) == 0, F.pmod(h, m * 2) == 0
             return F.struct(
-                F.when(end_p, F.concat(s["p"], F.array(low(p)))).otherwise(s["p"]).alias("p"),
-                F.when(end_s, F.concat(s["s"], F.array(low(q)))).otherwise(s["s"]).alias("s"),
+                F.when(end_p, F.concat(s["p"], F.array(p))).otherwise(s["p"]).alias("p"),
+                F.when(end_s, F.concat(s["s"], F.array(q))).otherwise(s["s"]).alias("s"),
                 F.when(end_p, F.lit(0)).otherwise(p).cast("bigint").alias("p0"),
                 F.when(end_s, F.lit(0)).otherwise(q).cast("bigint").alias("s0"),
             )
@@ -50,7 +47,7 @@ def _tree(text: Column) -> Column:
 
     def close(m: Column):
         def run(s: Column) -> Column:
-            return F.struct(m.alias("m"), F.when(s["p0"] == 0, s["p"]).otherwise(F.concat(s["p"], F.array(low(s["p0"])))).alias("p"), F.when(s["s0"] == 0, s["s"]).otherwise(F.concat(s["s"], F.array(low(s["s0"])))).alias("s"))
+            return F.struct(m.alias("m"), F.when(s["p0"] == 0, s["p"]).otherwise(F.concat(s["p"], F.array(s["p0"]))).alias("p"), F.when(s["s0"] == 0, s["s"]).otherwise(F.concat(s["s"], F.array(s["s0"]))).alias("s"))
 
         return run
 
@@ -59,7 +56,7 @@ def _tree(text: Column) -> Column:
 
 
 def _text(tree: Column) -> Column:
-    nodes = lambda xs: F.array_join(F.transform(xs, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    nodes = lambda xs: F.array_join(F.transform(xs, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
     body = F.concat_ws(":", tree["m"].cast("string"), nodes(tree["p"]), nodes(tree["s"]))
     return F.concat_ws(":", F.substring(F.sha2(body, 256), 1, 16), body)
 
@@ -79,7 +76,7 @@ def fingerprint(text: Column) -> Column:
 
 def _parsed(fp: Column) -> Column:
     parts = F.split(fp, ":")
-    nodes = lambda k: F.transform(F.regexp_extract_all(parts[k], F.lit("[0-9a-f]{8}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    nodes = lambda k: F.transform(F.regexp_extract_all(parts[k], F.lit("[0-9a-f]{16}"), F.lit(0)), lambda x: F.conv(x, 16, -10).cast("bigint"))
     return F.struct(parts[1].cast("bigint").alias("m"), nodes(2).alias("p"), nodes(3).alias("s"))
 
 
