@@ -125,6 +125,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = 4096,
     clean = lambda df: df.select(F.col("vec_id").cast("long"), "vector").filter("vec_id is not null and vector is not null")
     files = written(clean(vectors).mapInArrow(_blocks(rows), _BLOCK), "va-rows")
     asked = written(clean(queries).mapInArrow(_blocks(query_rows), _BLOCK), "va-queries").select("dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    found = files.join(asked, "dims").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    # each block of rows meets all blocks of queries of its dimensions; rows are dealt out by their block, queries go to all
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    files = files.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
+    found = files.join(asked, ["dims", "part"]).drop("part").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
