@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules are literals of the plan; a longer list belongs into a table of its own.
-MOST_RULES = 5_000
+#: Up to so many rules are literals of the plan; a longer list is a table that the tokens are joined to.
+MOST_LITERAL = 500
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,14 +86,14 @@ def judge(pages: DataFrame, address_rules: Sequence[Rule] = ADDRESS_RULES, patte
     rows and null ids are judged like others. An empty table gives an empty result. Columns beside ``id_col`` and ``url_col`` are not read.
     """
     rules = [*address_rules, *pattern_rules]
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     if loose := [r.name for r in rules if not r.literals]:
         raise ValueError(f"no whole literal token: {loose}")
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("tokens", _tokens(F.concat("host", "path")))
     counts = _counts(rows, sorted({t for r in rules for t in r.literals}))
+    if len(rules) > MOST_LITERAL:
+        return _by_table(rows, rules, counts)
     index: dict[str, list[int]] = {}
     for k, r in enumerate(rules):
         index.setdefault(min(r.literals, key=lambda t: (counts.get(t, 0), t)), []).append(k)
@@ -112,8 +112,26 @@ def judge(pages: DataFrame, address_rules: Sequence[Rule] = ADDRESS_RULES, patte
     return rows.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.coalesce("rule.action", "own.action", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("own.name")).alias("pattern"))
 
 
+def _by_table(rows: DataFrame, rules: Sequence[Rule], counts: dict[str, int]) -> DataFrame:
+    """As the end of ``judge``, for rules in a table by their rarest token; each distinct host and path is judged once."""
+    spark = rows.sparkSession
+    listed = [(min(r.literals, key=lambda t: (counts.get(t, 0), t)), r.address, len(r.name) if r.address else 0, r.name, r.pattern, r.action, k) for k, r in enumerate(rules)]
+    table = spark.createDataFrame(listed, "token string, address boolean, length int, name string, pattern string, action string, k int")
+    urls = rows.groupBy("host", "path").agg(F.first("tokens").alias("tokens"))
+    tried = urls.select("host", "path", F.explode("tokens").alias("token")).join(table, "token").filter(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
+    address = F.min(F.when(F.col("address"), F.struct(-F.col("length"), "name", "k", "action")))
+    own = F.min(F.when(~F.col("address"), F.struct("k", "name", "action")))
+    best = tried.groupBy("host", "path").agg(address.alias("rule"), own.alias("own"))
+    out = rows.drop("tokens").join(best, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.coalesce("rule.action", "own.action", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("own.name")).alias("pattern"))
+
+
 def _counts(rows: DataFrame, literals: list[str]) -> dict[str, int]:
     """How many URLs have each of the rules' literals: at most one row each."""
-    wanted = F.array(*[F.lit(t) for t in literals]) if literals else F.array().cast("array<string>")
-    found = rows.select(F.explode(F.array_intersect("tokens", wanted)).alias("token")).groupBy("token").count()
+    if len(literals) > MOST_LITERAL:
+        wanted = rows.sparkSession.createDataFrame([(t,) for t in literals], "token string")
+        found = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().join(wanted, "token")
+    else:
+        own = F.array(*[F.lit(t) for t in literals]) if literals else F.array().cast("array<string>")
+        found = rows.select(F.explode(F.array_intersect("tokens", own)).alias("token")).groupBy("token").count()
     return {r[0]: r[1] for r in found.collect()}
