@@ -105,14 +105,20 @@ def _vectors(given: Sequence[tuple[str, str, bool]], cosine: float) -> tuple[dic
     return idf, [(*key, x) for key, x in postings.items()], [(size, low, sorted(words)) for size, (low, words) in sizes.items()]
 
 
-def _units(plain: DataFrame, sizes: list) -> DataFrame:
+def _anchors(given: Sequence[tuple[str, str, bool]], idf: dict[str, float]) -> list[str]:
+    """The usual anchors, and the rarest word of each template that has none of them."""
+    rest = [words for _, t, _ in given if (words := set(re.findall(_WORD, t.lower()))) and not words & set(ANCHORS)]
+    return [*ANCHORS, *sorted({max(words, key=lambda w: (idf[w], w)) for words in rest})]
+
+
+def _units(plain: DataFrame, sizes: list, anchor_words: list[str]) -> DataFrame:
     """``doc_id, path, h, size, start, line, words`` of the lines and windows that can match."""
     spark = plain.sparkSession
-    some = "(?i)\\b(" + "|".join(ANCHORS) + ")\\b"
+    some = "(?i)(?<![a-z0-9.+])(" + "|".join(map(re.escape, anchor_words)) + ")(?![a-z0-9+])" if anchor_words[len(ANCHORS) :] else "(?i)\\b(" + "|".join(ANCHORS) + ")\\b"
     texts = plain.filter(F.col("text").rlike(some)).withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "path", "h"])
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
     key = ["doc_id", "path", "h"]
-    anchors = F.array(*[F.lit(x) for x in ANCHORS])
+    anchors = F.array(*[F.lit(x) for x in anchor_words])
     by_size = spark.createDataFrame(sizes, "size int, least int, vocabulary array<string>")
     _, least, vocabulary = next(x for x in sizes if x[0] == 0)
     enough = lambda words, vocabulary, least: F.size(F.array_intersect(words, vocabulary)) >= least
@@ -145,7 +151,7 @@ def scan(files: DataFrame, given: Sequence[tuple[str, str, bool]] | None = None,
     own, null paths inherit none. Rows that share id and path share the best of their lines. An empty table gives an
     empty result. Other columns are not read.
     """
-    given = templates() if given is None else given
+    given = given_templates = templates() if given is None else given
     idf, postings, sizes = _vectors(given, cosine)
     rare = 1 + math.log(1 + len(given))
     spark = files.sparkSession
@@ -154,7 +160,7 @@ def scan(files: DataFrame, given: Sequence[tuple[str, str, bool]] | None = None,
     idfs = spark.createDataFrame(list(idf.items()), "word string, idf double")
     plain = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     key = ["doc_id", "path", "h", "size", "start", "line"]
-    words = _units(plain, sizes).select(*key, F.explode("words").alias("word")).groupBy(*key, "word").agg(F.count("*").alias("n"))
+    words = _units(plain, sizes, _anchors(given_templates, idf)).select(*key, F.explode("words").alias("word")).groupBy(*key, "word").agg(F.count("*").alias("n"))
     words = words.join(F.broadcast(idfs), "word", "left").select(*key, "word", ((1 + F.log("n")) * F.coalesce("idf", F.lit(rare))).alias("w"))
     words = written(words, "licenses-words")
     norms = words.groupBy(*[F.col(c).alias(f"n_{c}") for c in key]).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -50,9 +50,10 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the files ``source/lang/doc_id.txt``."""
+    """Documents as files: a hundred in a directory ``source/lang/n``, of which one is its ``LICENSE``."""
     docs = _table(spark, sf_dir, "documents")
-    return licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt"))).alias("path"), "text"))
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), name).alias("path"), "text"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,73 @@ def test_url_patterns_against_all_on_all(spark):
     assert all(want[names.index(n) * 8][0] == "block" for n in names[:10])
 
 
+def test_long_url_lists(spark, monkeypatch):
+    """Rules in a table give what rules in the plan give; a list of 20,000 works."""
+    urls = [f"http://{a}.{b}.{c}{p}" for a in ("www", "bets", "x-casino-y") for b in ("example", "alpha", "beta9") for c in ("org", "com", "net") for p in ("", "/", "/es/1", "/de/bet.", "/en/12")]
+    table = spark.createDataFrame([*enumerate(urls), (None, urls[0]), (-1, None), (-2, "")], "page_id long, url string")
+    rules = [*urlrules.ADDRESS_RULES, urlrules.address_rule("block", "alpha.com/es"), urlrules.address_rule("allow", "alpha.com/e"), urlrules.address_rule("block", "alpha.com/e")]
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    literal = order(urlrules.judge(table, rules))
+    with monkeypatch.context() as m:
+        m.setattr(urlrules, "MOST_LITERAL", 0)
+        assert order(urlrules.judge(table, rules)) == literal
+    many = [*rules, *(urlrules.address_rule("block", f"host{k}.test/") for k in range(20_000))]
+    table = table.unionByName(spark.createDataFrame([(900, "http://a.host777.test/x"), (901, "http://host20001.test/")], table.schema))
+    got = order(urlrules.judge(table, many))
+    assert [x for x in got if x[0] not in (900, 901)] == literal
+    assert {x[0]: x[4] for x in got if x[0] in (900, 901)} == {900: "block", 901: "allow"}
+
+
+def test_bpe_repair_of_joins():
+    """Some chunks are used from safe place to safe place, others have their borders inside of tokens: the ids are
+    those of the whole text, and only the latter are re-encoded."""
+    import numpy as np
+
+    from lexispark.llm.common import tokenizer_path
+
+    codec, q, total = bpe.Codec(tokenizer_path()), random.Random(5), 0
+    for _ in range(300):
+        text = " ".join(q.choice(WORDS) for _ in range(60))
+        data, own, sizes, parts, at, broken = text.encode(), [], [], [], 0, 0
+        safe, inner = bpe._safe(data).tolist(), [p for p in range(1, len(data)) if data[p] & 0xC0 != 0x80]
+        edges = set(np.cumsum([len(codec.bytes[i]) for i in codec.encode(text)]).tolist())
+        for _ in range(q.randint(1, 5)):
+            apart = q.random() < 0.5
+            places = [p for p in (inner if apart else safe) if p > at and (not apart or p not in edges)]
+            if len(places) < 8:
+                break
+            k = q.randrange(len(places) - 6)
+            lo, hi = places[k], places[k + q.randint(1, 5)]
+            mine = codec.encode(data[at:lo].decode())
+            own, sizes = own + mine, [*sizes, len(mine)]
+            a, b = max([0, *(p for p in safe if p < lo)]), min([len(data), *(p for p in safe if p > hi)])
+            parts.append((lo - a, hi - a, np.array(codec.encode(data[a:b].decode()), codec.dtype)))
+            at, broken = hi, broken + apart
+        tail = codec.encode(data[at:].decode())
+        got, repaired = bpe.joined(codec, np.array(own + tail, codec.dtype), [*sizes, len(tail)], parts)
+        assert got == codec.encode(text) and repaired == broken
+        total += broken
+    assert total > 100
+
+
+def test_own_templates_without_usual_words(spark):
+    df = spark.createDataFrame([(1, "a", "This frobnication grant covers quux forever."), (2, "b", "Nothing of that kind.")], "doc_id long, path string, text string")
+    got = {x.doc_id: x.own_license for x in licenses.scan(df, [("Frob", "This frobnication grant covers quux forever.", False)]).collect()}
+    assert got == {1: "Frob", 2: None}
+
+
+def test_langid_evidence(spark):
+    """Suffix and declared language decide where the text says nothing, by counts over the other rows."""
+    words = {"xx": "aba bab abba", "yy": "oko kok okko"}
+    labelled = spark.createDataFrame([(k, f"{words[x]} {words[x]}", x) for k, x in enumerate(["xx", "yy"] * 10)], "doc_id long, text string, lang string")
+    rows = [(k, words["xx" if k % 2 else "yy"], f"h{k}.net", "aa" if k % 2 else "bb", "xx" if k % 2 else "yy") for k in range(40)]
+    rows += [(100, "ab ok", "n1.net", "aa", None), (101, "ab ok", "n2.net", "bb", None), (102, "ab ok", "n3.net", None, "xx"), (103, "ab ok", None, None, "yy"), (104, None, None, "aa", "xx"), (105, "　 ", "n", "aa", "xx")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, declared string")
+    got = {x.doc_id: x for x in langid.identify(table, langid.fit(labelled), host_col="host", suffix_col="suffix", declared_col="declared").collect()}
+    assert [got[k].language for k in (100, 101, 102, 103)] == ["xx", "yy", "xx", "yy"]
+    assert all(got[k].rejected and got[k].language == "und" for k in (104, 105)) and len(got) == 46
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
