@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, forget, in_bitmap, short_batches, slices, written, xxhash64
+from .common import bitmap, forget, in_bitmap, short_batches, slices, trimmed, written, xxhash64
 from .textscan import mix, words
 
 COUNT_BITS, RANGE_BITS = 24, 14
@@ -39,7 +39,7 @@ BLOCK = 1 << 14
 #: Tokens from this level on, 2^20 occurrences, are common.
 COMMON_LEVEL = 8 * 20
 #: Lines of a task that are put together before they are packed.
-HELD = 1 << 16
+HELD = 1 << 15
 #: Lines of more distinct words than these have 2, 4 and 8 words of parity.
 WIDE = (80, 200, 440)
 #: Words of the corpus for one partition of prefix tokens, of which a line has a fifth of its words at most.
@@ -81,16 +81,28 @@ def _unpacked(blobs: list[bytes], *kinds) -> list[np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+    # short numbers, and those that outgrow them apart
+    total, large = np.zeros(1 << COUNT_BITS, dtype=np.uint16), {}
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for i, j in slices(texts):
             at, n = np.unique(_place(words(texts[i:j])[0]), return_counts=True)
-            total[at] += n.astype(np.uint32)
+            now = total[at] + n
+            for k in np.flatnonzero(now > 0xFFFF).tolist():
+                large[int(at[k])] = large.get(int(at[k]), 0) + int(now[k])
+                now[k] = 0
+            total[at] = now.astype(np.uint16)
+    rest: dict[int, list[int]] = {}
+    for at in large:
+        rest.setdefault(at >> RANGE_BITS, []).append(at)
     for k, part in enumerate(total.reshape(-1, 1 << RANGE_BITS)):
+        if k in rest:
+            part = part.astype(np.uint32)
+            for at in rest[k]:
+                part[at & (1 << RANGE_BITS) - 1] += large[at]
         at = np.flatnonzero(part)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(at.astype(np.uint16), part[at])], pa.binary())], ["range", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(at.astype(np.uint16), part[at].astype(np.uint32))], pa.binary())], ["range", "data"])
 
 
 def _as_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +119,8 @@ def _as_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _levels(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Rarity of each place as a byte: 0 for one occurrence, else a step for each eighth of a doubling. And all words."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("text").mapInArrow(_counts, "range int, data binary")
-    table = packed.repartition(n, "range").mapInArrow(_as_levels, "range int, words long, levels binary").toArrow()
+    packed = docs.select("text").mapInArrow(trimmed(_counts), "range int, data binary")
+    table = packed.repartition(n, "range").mapInArrow(trimmed(_as_levels), "range int, words long, levels binary").toArrow()
     out = np.zeros((1 << (COUNT_BITS - RANGE_BITS), 1 << RANGE_BITS), dtype=np.uint8)
     for k, levels in zip(table.column("range").to_pylist(), table.column("levels").to_pylist(), strict=True):
         out[k] = np.frombuffer(levels, np.uint8)
@@ -275,7 +287,7 @@ def _scan(shared, percent: int, least: int, n_buckets: int, second: bool):
         if held:
             yield from packed()
 
-    return run
+    return trimmed(run)
 
 
 def _within(percent: int, c: dict[str, np.ndarray]):
@@ -437,7 +449,7 @@ def _reduced(percent: int, limit: int | None):
             place = place[order]
             yield from _paired({"group": group[order], "doc": doc[order], "spot": spot[order], "n": n[order], "place": place & (_PROBE - 1), "parity": parity[order], "level": level[order], "wide": wide[order], "probe": place >= _PROBE}, percent, limit)
 
-    return run
+    return trimmed(run)
 
 
 def _blocks(percent: int, limit: int | None):
@@ -463,7 +475,7 @@ def _blocks(percent: int, limit: int | None):
             yield from work({k: v[:cut] for k, v in c.items()})
         yield from work(carry)
 
-    return run
+    return trimmed(run)
 
 
 def _of_common(met: DataFrame, percent: int, limit: int | None) -> DataFrame | None:
@@ -510,7 +522,7 @@ def _wanted(bits_of):
                     d = doc + i
                     yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(at)[d]]), pa.array(np.array(spots)[d]), pa.ListArray.from_arrays(pa.array(np.concatenate([first, last[-1:]]).astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc_id", "spot", "tokens"])
 
-    return run
+    return trimmed(run)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -596,7 +608,7 @@ def _untouched(bits_of, at: int, text: int, names: list[str], touched: bool):
                 more = [part.column(text), pa.array([0 if not t else t.count("\n") + 1 for t in texts], pa.int64()), pa.array([0] * len(texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *more], [*(x for k, x in enumerate(names) if k != text), *(["__text", "__tie"] if touched else ["__out", "__lines", "__removed"])])
 
-    return run
+    return trimmed(run)
 
 
 def _without(n_columns: int, names: list[str]):
@@ -611,7 +623,7 @@ def _without(n_columns: int, names: list[str]):
             lines = [t.count("\n") + 1 if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array([len(g) for g in gone], pa.int64())], names)
 
-    return run
+    return trimmed(run)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 1) -> DataFrame:

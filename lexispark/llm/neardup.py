@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, short_batches, slices, written
+from .common import forget, short_batches, slices, trimmed, written
 from .components import components
 from .textscan import mix, shingle_sets
 
@@ -186,7 +186,7 @@ def _met(percent: int):
         if held:
             yield from groups({k: np.concatenate([h[k] for h in held]) for k in names})
 
-    return run
+    return trimmed(run)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = written(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, set_id binary, registers binary"), "nd-sketches")
+    sketches = written(docs.mapInArrow(trimmed(_sketches), "doc_id long, n_shingles long, set_id binary, registers binary"), "nd-sketches")
     classes = written(
         sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")),
         "nd-classes",
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int, tables: list[DataFrame]) -> DataFrame:
     """Confirmed links between nodes that give the components; ``tables`` gets those to remove after."""
-    bands = classes.select("node", "registers").mapInArrow(_bands, "band long, node long")
+    bands = classes.select("node", "registers").mapInArrow(trimmed(_bands), "band long, node long")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     pairs = written(bands.join(shared, "band"), "nd-shared")
     # a band's centre is its node with the most company in all bands: what a group's copies agree on
@@ -239,7 +239,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, tables: list[DataF
     forget(pairs, company, centres)
     wanted = active.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "node long, set_id binary, shingles array<bigint>")
+    sets = texts.mapInArrow(trimmed(_sets), "node long, set_id binary, shingles array<bigint>")
     sets = written(sets.join(classes.select("node", "set_id"), ["node", "set_id"], "left_semi").select("node", "shingles"), "nd-sets")
     tables.append(sets)
     edges = _confirmed(active.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")), classes, sets, percent)
@@ -282,7 +282,7 @@ def _compared(active: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = active.select("band", "node", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least("own", k) * F.col("blocks") + F.greatest("own", k)).alias("block"), F.when(k == F.col("own"), 0).when(k > F.col("own"), 1).otherwise(2).alias("side")))
-    parities = sets.join(active.select("node").distinct(), "node", "left_semi").mapInArrow(_parities, "node long, parity binary")
+    parities = sets.join(active.select("node").distinct(), "node", "left_semi").mapInArrow(trimmed(_parities), "node long, parity binary")
     about = classes.select("node", F.col("n").alias("size"), "registers").join(parities, "node")
     about = written(about.distinct(), "nd-about")
     rows = rows.join(about, "node")
@@ -299,7 +299,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     sized = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
     sized = sized.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    likely = written(sized.mapInArrow(_likely, "a long, b long, n_a long, n_b long"), "nd-likely")
+    likely = written(sized.mapInArrow(trimmed(_likely), "a long, b long, n_a long, n_b long"), "nd-likely")
     found = _verified(likely, sets, percent)
     forget(likely)
     return found

@@ -15,7 +15,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 21, 1 << (n - 1).bit_length())
+        size = max(1 << 19, 1 << (n - 1).bit_length())
         _powers[:] = [np.full(size, b & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
         for p in _powers:
             p[0] = 1
