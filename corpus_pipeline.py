@@ -14,8 +14,11 @@ _ID, _KEY = "__doc_id", "__text_key"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that language ID rejects: blank texts, and texts of no known language."""
     judged = langid.identify(docs, langid.fit(docs), host_col="source", keep_text_key=True)
-    # written, so that Spark knows the size and needn't shuffle all texts to meet a short list
-    gone = written(judged.filter("rejected").select(F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY)).distinct(), "rejected")
+    # verdicts first: the filter would be pushed into the judgement and repeat it
+    verdicts = written(judged.select(F.col("doc_id").alias(_ID), F.col("text_key").alias(_KEY), "rejected"), "verdicts")
+    # then the short list, so that Spark knows its size and needn't shuffle all texts to meet it
+    gone = written(verdicts.filter("rejected").select(_ID, _KEY).distinct(), "rejected")
+    forget(verdicts)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.xxhash64("text") == F.col(_KEY)), "left_anti")
 
 
