@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, forget, in_bitmap, short_batches, slices, trimmed, written, xxhash64
-from .textscan import mix, words
+from .textscan import mix, utf8, words
 
 COUNT_BITS, RANGE_BITS = 24, 14
 #: Candidates of a line for one token in the first pass; the second has no limit.
@@ -50,9 +50,9 @@ _PROBE = 1 << 30
 _GONE, _CLASS, _COMMON, _PAIR, _POSTING = range(5)
 
 
-def _tie(texts: list[str | None]) -> np.ndarray:
+def _tie(texts: list[str | bytes | None]) -> np.ndarray:
     """24 bits of the text: tells rows that share an id apart."""
-    return np.array([xxhash.xxh3_64_intdigest((t or "").encode()) & _TIE for t in texts], dtype=np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(t or b"") & _TIE for t in texts], dtype=np.int64)
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # short numbers, and those that outgrow them apart
     total, large = np.zeros(1 << COUNT_BITS, dtype=np.uint16), {}
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts = utf8(batch.column(0))
         for i, j in slices(texts):
             at, n = np.unique(_place(words(texts[i:j])[0]), return_counts=True)
             now = total[at] + n
@@ -127,7 +127,7 @@ def _levels(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out.ravel(), sum(table.column("words").to_pylist())
 
 
-def _token_sets(texts: list[str | None], levels: np.ndarray, asked=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _token_sets(texts: list[str | bytes | None], levels: np.ndarray, asked=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each line with a word: document, line, first and last place in ``tokens``; distinct tokens, rare first.
 
     With ``asked`` only lines with a token that it tells.
@@ -255,7 +255,7 @@ def _scan(shared, percent: int, least: int, n_buckets: int, second: bool):
 
         size = 0
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            texts, ids = utf8(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
             ties = _tie(texts)
             for i, j in slices(texts):
                 doc, line, first, last, tokens = _token_sets(texts[i:j], levels, asked)
@@ -507,10 +507,10 @@ def _wanted(bits_of):
             asked = np.flatnonzero(in_bitmap(documents, xxhash64(ids)))
             if not len(asked):
                 continue
-            texts, ids = batch.column(1).take(pa.array(asked)).to_pylist(), ids[asked]
+            texts, ids = utf8(batch.column(1).take(pa.array(asked))), ids[asked]
             parts, at, spots = [], [], []
             for k, (text, tie) in enumerate(zip(texts, _tie(texts).tolist(), strict=True)):
-                own = text.split("\n")
+                own = text.split(b"\n")
                 spot = np.arange(len(own), dtype=np.int64) << 24 | tie
                 for m in np.flatnonzero(in_bitmap(lines, xxhash64(np.full(len(own), ids[k]), spot))).tolist():
                     parts.append(own[m])
@@ -594,18 +594,18 @@ def _untouched(bits_of, at: int, text: int, names: list[str], touched: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack, bits = zstandard.ZstdCompressor(level=3).compress, np.frombuffer(bits_of.value, np.int64)
+        pack, bits = zstandard.ZstdCompressor(level=1).compress, np.frombuffer(bits_of.value, np.int64)
         for batch in batches:
             ids = batch.column(at)
             asked = in_bitmap(bits, xxhash64(ids.fill_null(0).to_numpy(zero_copy_only=False))) & ids.is_valid().to_numpy(zero_copy_only=False)
             asked &= batch.column(text).is_valid().to_numpy(zero_copy_only=False)
             part = batch.filter(pa.array(asked == touched))
-            texts = part.column(text).to_pylist()
+            texts = utf8(part.column(text))
             columns = [part.column(k) for k in range(len(names)) if k != text]
             if touched:
-                more = [pa.array([pack(t.encode()) for t in texts], pa.binary()), pa.array(_tie(texts))]
+                more = [pa.array([pack(t) for t in texts], pa.binary()), pa.array(_tie(texts))]
             else:
-                more = [part.column(text), pa.array([0 if not t else t.count("\n") + 1 for t in texts], pa.int64()), pa.array([0] * len(texts), pa.int64())]
+                more = [part.column(text), pa.array([0 if not t else t.count(b"\n") + 1 for t in texts], pa.int64()), pa.array([0] * len(texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *more], [*(x for k, x in enumerate(names) if k != text), *(["__text", "__tie"] if touched else ["__out", "__lines", "__removed"])])
 
     return trimmed(run)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 #: A-Z as a-z, and every space byte as a space.
 _PLAIN = bytes(32 if b in (32, *range(9, 14)) else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -30,14 +31,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``hash, document, line`` of each word in order.
+def utf8(texts: pa.Array) -> list[bytes | None]:
+    """The bytes of each text, which ``words`` takes without decoding and encoding them."""
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+
+
+def words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hash, document, line`` of each word in order; bytes are taken as UTF-8.
 
     Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
     return; A-Z count as a-z. Lines end at line feeds. The hash is a polynomial over random 64-bit
-    letters, mixed; the powers are taken over the whole buffer and divided out at each word's start.
+    letters, mixed; the powers and sums are taken over the whole buffer, where spaces count 0, and
+    divided out at each word's start.
     """
-    parts = [(t or "").encode() for t in texts]
+    parts = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     joined = b"\n".join(parts)
     none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     if not joined:
@@ -53,7 +60,9 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _power_tables(len(a))
     product = _LETTER[a]
     product *= up[: len(a)]
-    h = mix(np.add.reduceat(product, starts) * down[starts])
+    np.add.accumulate(product, out=product)
+    sums = np.diff(product[np.append(starts[1:], len(a)) - 1], prepend=np.uint64(0))
+    h = mix(sums * down[starts])
     begins = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
     # borders are few and words many: look up the borders
     counted = lambda borders: np.diff(np.concatenate([[0], np.searchsorted(starts, borders), [len(starts)]]))
