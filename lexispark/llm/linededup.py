@@ -426,15 +426,19 @@ def _reduced(percent: int, limit: int | None):
             group, s0, doc, spot, n, place, parity = _unpacked(blobs.pop(_COMMON), *_POSTED)
             order = firsts(group, s0, doc, spot, place)
             yield from _met(_COMMON, group[order].astype(np.int64), doc[order], spot[order], parity[order].view(np.int64), n[order].astype(np.int64) << 32 | place[order] & (_PROBE - 1), np.zeros(len(order), np.int32), place[order] >= _PROBE)
-        parts = []
+        # most lines are short, and have no more parity
+        parts, wides = [], []
         for w in range(len(WIDE) + 1):
             more = (1 << w) - 1
             own = _unpacked(blobs.pop(_POSTING + w, []), *_POSTED, *(np.uint64,) * more)
-            wide = np.zeros((len(own[0]), (1 << len(WIDE)) - 1), np.uint64)
-            for k in range(more):
-                wide[:, k] = own[len(_POSTED) + k]
-            parts.append((*own[: len(_POSTED)], np.full(len(own[0]), w, np.int8), wide))
-        group, s0, doc, spot, n, place, parity, level, wide = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.append((*own[: len(_POSTED)], np.full(len(own[0]), w, np.int8)))
+            if w:
+                wides.append(np.zeros((len(own[0]), (1 << len(WIDE)) - 1), np.uint64))
+                for k in range(more):
+                    wides[-1][:, k] = own[len(_POSTED) + k]
+        group, s0, doc, spot, n, place, parity, level = (np.concatenate(c) for c in zip(*parts, strict=True))
+        narrow = len(parts[0][0])
+        del parts, own
         order = firsts(group, s0, doc, spot, place)
         # a token that one class has alone says nothing
         g = np.sort(group[order])
@@ -447,7 +451,11 @@ def _reduced(percent: int, limit: int | None):
         order = order[np.lexsort((spot[order], doc[order], group[order]))]
         if len(order):
             place = place[order]
-            yield from _paired({"group": group[order], "doc": doc[order], "spot": spot[order], "n": n[order], "place": place & (_PROBE - 1), "parity": parity[order], "level": level[order], "wide": wide[order], "probe": place >= _PROBE}, percent, limit)
+            long = np.flatnonzero(order >= narrow)
+            wide = np.zeros((len(order), (1 << len(WIDE)) - 1), np.uint64)
+            wide[long] = np.concatenate(wides)[order[long] - narrow]
+            del wides
+            yield from _paired({"group": group[order], "doc": doc[order], "spot": spot[order], "n": n[order], "place": place & (_PROBE - 1), "parity": parity[order], "level": level[order], "wide": wide, "probe": place >= _PROBE}, percent, limit)
 
     return trimmed(run)
 
