@@ -158,6 +158,21 @@ def test_top_k(spark):
     assert got == want
 
 
+def test_top_k_moves_queries_by_shuffle(spark):
+    q = random.Random(3)
+    # one dimension count with sums beyond doubles, one with copies, one without components
+    rows = [(k, [q.randrange(-(2**28), 2**28) for _ in range(40)]) for k in range(60)] + [(k, [k % 2, 1]) for k in range(100, 160)] + [(k, []) for k in range(200, 206)]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<bigint>").repartition(3)
+    out = vafile.top_k(v, v.filter("vec_id % 5 = 0"), 3, rows=16, query_rows=4)
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+    want = []
+    for a, x in rows:
+        if a % 5 == 0:
+            best = sorted((-sum(i * j for i, j in zip(x, y, strict=True)), b) for b, y in rows if b != a and len(x) == len(y))[:3]
+            want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(best)]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def test_sharding(docs, empty):
     got = sharding.assign(docs).collect()
     slots = defaultdict(list)
