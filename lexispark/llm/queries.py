@@ -34,9 +34,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by their text and host (the source). ``lang`` labels the sample, so it is no evidence here."""
+    """Documents by their text, declared language (``lang``), the suffix of their address and its host (the source).
+
+    ``lang`` labels the sample that the trigrams are fitted on; as evidence it is weighed by the expected counts of
+    all rows without the judged one. A source without a dot has no suffix, which is no evidence.
+    """
     docs = _table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.fit(docs), host_col="source")
+    judged = docs.withColumns({"declared": F.lower("lang"), "suffix": langid.address_suffix(F.concat(F.lit("http://"), "source"))})
+    return langid.identify(judged, langid.fit(docs), host_col="source", declared_col="declared", suffix_col="suffix")
 
 
 def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -413,3 +413,16 @@ def test_pipeline(spark, tmp_path):
             left = {x.doc_id: x.text for x in now.collect()}
             assert all(kept for _, _, kept in groups(left).values())
     assert {x.doc_id for x in now.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_langid_query_fuses_declared_and_suffix(spark, tmp_path):
+    """Equal texts of equal hosts' priors: what is declared, and the suffix of the source, tell them apart."""
+    from lexispark.llm.queries import op6_langid
+
+    rows = [(k, ("der hund und die katze sind im haus " if k % 2 else "le chien et le chat sont dans la maison ") * 5, ("de", "fr")[k % 2 == 0], f"h{k}.{('de', 'fr')[k % 2 == 0]}") for k in range(60)]
+    rows += [(100, "123 456", "de", None), (101, "123 456", "fr", None), (102, "123 456", None, "x.de"), (103, "123 456", None, "y.fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    share = {x.doc_id: __import__("json").loads(x.posterior) for x in op6_langid(spark, str(tmp_path)).collect()}
+    ratio = lambda k: share[k]["de"] / max(share[k]["fr"], 1e-6)
+    assert ratio(100) > 5 * ratio(101)
+    assert ratio(102) > 2 * ratio(103)
